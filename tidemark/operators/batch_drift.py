@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.sqltext import quote
 from tidemark.operators.ranks import cumulative_counts
 
+# Ship the tail probability with the plan: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def extract_schema(profile: DataFrame, rows: DataFrame) -> DataFrame:
     """H1: type and frequency of each field, with the number of records looked at."""

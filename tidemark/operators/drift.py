@@ -353,9 +353,9 @@ def history_counts(df: DataFrame, ts: str, baseline: TimeWindow, periods: int) -
     start = baseline.start - length * periods
     past = TimeWindow(start, baseline.start)
     seconds = int(length.total_seconds())
-    offset = f"CAST((unix_micros({ts}) - unix_micros({timestamp_sql(start)})) / 1000000 AS BIGINT)"
+    offset = f"CAST((unix_micros(CAST({ts} AS TIMESTAMP)) - unix_micros({timestamp_sql(start)})) / 1000000 AS BIGINT)"
     return (
-        df.filter(past.predicate(ts))
+        past.of(df, ts)
         .groupBy(F.expr(f"{offset} DIV {seconds}").alias("period"))
         .agg(F.count("*").alias("n"))
     )

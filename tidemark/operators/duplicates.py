@@ -62,7 +62,7 @@ def mark_duplicates_within(
     """
     micros = seconds * 1_000_000
     timed = (
-        df.withColumn("__us", F.unix_micros(F.col(f"`{ts}`")))
+        df.withColumn("__us", F.unix_micros(F.col(f"`{ts}`").cast("timestamp")))
         .withColumn("__cell", F.floor(F.col("__us") / micros))
         .withColumn("__order", F.struct(F.col("__us"), *[F.col(f"`{c}`") for c in order_by]))
     )

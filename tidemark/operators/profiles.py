@@ -38,7 +38,7 @@ def schema_profile(leaves: DataFrame, rows: DataFrame, cap: int = 1000, seen: st
     )
     typed = "kind <> 'NoneType'"
     fields = votes.groupBy("window", "path").agg(
-        F.expr(f"max_by(kind, struct(n, -unix_micros(seen), kind)) FILTER (WHERE {typed})").alias("type"),
+        F.expr(f"max_by(kind, struct(n, -unix_micros(CAST(seen AS TIMESTAMP)), kind)) FILTER (WHERE {typed})").alias("type"),
         F.expr("coalesce(sum(n) FILTER (WHERE kind = 'NoneType'), 0)").alias("null_count"),
         F.sum("n").alias("present_count"),
         F.expr(f"theta_sketch_estimate(theta_union_agg(sketch, {size}))").alias("distinct"),

@@ -5,10 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.sqltext import case, name
-from tidemark.operators.validate import timestamp_sql
 
 BASELINE, CURRENT = "baseline", "current"
 
@@ -24,8 +23,15 @@ class TimeWindow:
     def hours(self) -> float:
         return (self.end - self.start).total_seconds() / 3600
 
-    def predicate(self, ts: str) -> str:
-        return f"({name(ts)} >= {timestamp_sql(self.start)} AND {name(ts)} < {timestamp_sql(self.end)})"
+    def predicate(self, df: DataFrame, ts: str) -> str:
+        """Plain comparisons with literals of the column's own type, so that sources can use them."""
+        kind = "TIMESTAMP_NTZ" if isinstance(df.schema[ts].dataType, T.TimestampNTZType) else "TIMESTAMP"
+        start, end = (f"{kind} '{moment.isoformat(sep=' ')}'" for moment in (self.start, self.end))
+        return f"({name(ts)} >= {start} AND {name(ts)} < {end})"
+
+    def of(self, df: DataFrame, ts: str) -> DataFrame:
+        """The rows inside the window."""
+        return df.filter(self.predicate(df, ts))
 
 
 def drift_windows(
@@ -43,8 +49,8 @@ def tag_windows(df: DataFrame, ts: str, baseline: TimeWindow, current: TimeWindo
 
     The range predicates are plain comparisons on ``ts`` and reach the source.
     """
-    tag = case([(current.predicate(ts), f"'{CURRENT}'"), (baseline.predicate(ts), f"'{BASELINE}'")])
-    return df.filter(f"{baseline.predicate(ts)} OR {current.predicate(ts)}").selectExpr("*", f"{tag} AS window")
+    tag = case([(current.predicate(df, ts), f"'{CURRENT}'"), (baseline.predicate(df, ts), f"'{BASELINE}'")])
+    return df.filter(f"{baseline.predicate(df, ts)} OR {current.predicate(df, ts)}").selectExpr("*", f"{tag} AS window")
 
 
 def window_counts(tagged: DataFrame) -> DataFrame:

@@ -281,8 +281,8 @@ def dup_lookback(spark, sf):
 @query
 def dup_against_history(spark, sf):
     events = dirty_events(spark, sf).select("event_id", "ts", "user_id", "event_type")
-    history = events.filter(windows.TimeWindow(BASELINE.start, CURRENT.start).predicate("ts"))
-    batch = events.filter(CURRENT.predicate("ts"))
+    history = BASELINE.of(events, "ts")
+    batch = CURRENT.of(events, "ts")
     marked = duplicates.duplicates_against_history(batch, history, ["user_id", "event_type"], "ts", ["event_id"], 7200)
     return marked.select("event_id", "is_duplicate")
 
@@ -442,7 +442,7 @@ def flatten_rejects(spark, sf):
 @query
 def insert_if_absent(spark, sf):
     rows = fl.flat_rows(fl.flatten_events(event_docs(spark, sf), keep=["rid", "ts"]))
-    target = rows.filter(BASELINE.predicate("ts"))
+    target = BASELINE.of(rows, "ts")
     return duplicates.insert_if_absent(rows, target, "event_id", ["rid"]).select("rid", "event_id", "event_type")
 
 
@@ -996,7 +996,7 @@ def event_stream(spark, sf) -> DataFrame:
     stream.createOrReplaceTempView(f"replay_{view}")
     out = spark.sql(EVENT_DOCS_SQL.replace("FROM events", f"FROM replay_{view}"))
     spark.catalog.dropTempView(f"replay_{view}")
-    return out
+    return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ingested(spark, sf) -> ingest.IngestTables:

@@ -14,7 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.codegen.maxFields": "40",
+    "spark.sql.codegen.maxFields": "20",
 }
 
 
