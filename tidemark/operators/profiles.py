@@ -28,13 +28,14 @@ def schema_profile(leaves: DataFrame, rows: DataFrame, cap: int = 1000, seen: st
     """F1 and F2 over flattened leaves (``window, path, kind, text, is_null`` and the arrival column).
 
     The dominant type is the most frequent one, the first seen among equals.
-    ``rows`` is the number of records per window.
+    ``rows`` is the number of records per window. The sketch passes over empty
+    strings, hence the prefix.
     """
     size = max(12, math.ceil(math.log2(max(cap, 2))) + 1)
     votes = leaves.groupBy("window", "path", "kind").agg(
         F.count("*").alias("n"),
         F.min(seen).alias("seen"),
-        F.expr(f"theta_sketch_agg(text, {size})").alias("sketch"),
+        F.expr(f"theta_sketch_agg(concat('=', text), {size})").alias("sketch"),
     )
     typed = "kind <> 'NoneType'"
     fields = votes.groupBy("window", "path").agg(

@@ -338,7 +338,7 @@ def stored(spark, sf) -> DataFrame:
     return (
         validated(spark, sf)
         .drop("validation_ts")
-        .selectExpr("*", "ts AS validation_ts", "CAST(rid % 200 AS DOUBLE) AS processing_time_ms")
+        .selectExpr("*", "ts AS validation_ts", "CAST(rid % 210 AS DOUBLE) AS processing_time_ms")
     )
 
 

@@ -587,7 +587,7 @@ _BYTES = "count(*) AS messages, CAST(sum(octet_length(encode(raw))) AS BIGINT) A
 ORACLES["ingest_stats"] = docs(f"SELECT {_BYTES}")
 ORACLES["ingest_observed"] = docs(f"SELECT count(*) AS rows_written, {_BYTES}")
 ORACLES["results_roundtrip"] = valid(
-    f"SELECT event_id, status, failed_checks, CAST(n AS INTEGER) AS failures, CAST(rid % 200 AS DOUBLE) AS processing_time_ms, "
+    f"SELECT event_id, status, failed_checks, CAST(n AS INTEGER) AS failures, CAST(rid % 210 AS DOUBLE) AS processing_time_ms, "
     f"{text('type')} AS event_type, ts AS validation_ts FROM validated"
 )
 
@@ -619,10 +619,10 @@ ORACLES["alert_conditions"] = valid("""
 SELECT fr > 0.05 AS high_failure_rate, wr > 0.2 AS high_warning_rate, d > 0.1 AS slow_validation, false AS no_data,
  round(fr, 9) AS failure_rate, round(wr, 9) AS warning_rate, round(d, 9) AS avg_duration_seconds
 FROM (SELECT count(*) FILTER (WHERE status = 'FAIL') / count(*) AS fr, count(*) FILTER (WHERE status = 'WARN') / count(*) AS wr,
-      avg(CASE WHEN rid % 200 <> 0 THEN (rid % 200) / 1000.0 END) AS d FROM validated)""")
+      avg(CASE WHEN rid % 210 <> 0 THEN (rid % 210) / 1000.0 END) AS d FROM validated)""")
 ORACLES["stats_between"] = valid("""
 SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'WARN') AS warned,
- count(*) FILTER (WHERE status = 'FAIL') AS failed, round(avg(CAST(rid % 200 AS DOUBLE)), 9) AS avg_processing_time_ms,
+ count(*) FILTER (WHERE status = 'FAIL') AS failed, round(avg(CAST(rid % 210 AS DOUBLE)), 9) AS avg_processing_time_ms,
  min(ts) AS earliest_validation, max(ts) AS latest_validation,
  round(count(*) FILTER (WHERE status = 'PASS') / count(*), 9) AS pass_rate,
  round(count(*) FILTER (WHERE status = 'WARN') / count(*), 9) AS warn_rate,
@@ -783,16 +783,16 @@ ORACLES["drift_cardinality"] = docs(
 _PSI_PAIR = [
     "psi_pair AS (SELECT field, value, max(proportion) FILTER (WHERE \"window\" = 'baseline') AS b, "
     "max(proportion) FILTER (WHERE \"window\" = 'current') AS c FROM cats GROUP BY ALL)",
-    "psi AS (SELECT field, count(b) > 0 AS hb, count(b) > 0 AND count(c) > 0 AS both, "
+    "psi AS (SELECT field, count(b) > 0 AS hb, count(b) > 0 AND count(c) > 0 AS common, "
     "abs(sum((greatest(coalesce(c, 0), 1e-10) - greatest(coalesce(b, 0), 1e-10)) * "
     "ln(greatest(coalesce(c, 0), 1e-10) / greatest(coalesce(b, 0), 1e-10)))) AS psi FROM psi_pair GROUP BY field)",
 ]
 _PSI_DRIFT = """
 SELECT 'distribution' AS drift_type, 'categorical' AS entity, field AS field_name, 'psi' AS metric_name,
- CASE WHEN NOT both THEN 'NONE' WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'NONE' END AS severity,
- round(CASE WHEN NOT both OR psi < 0.1 THEN 0.0 ELSE least(1.0, psi / 0.5) END, {1}) AS drift_score{0} FROM psi"""
+ CASE WHEN NOT common THEN 'NONE' WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'NONE' END AS severity,
+ round(CASE WHEN NOT common OR psi < 0.1 THEN 0.0 ELSE least(1.0, psi / 0.5) END, {1}) AS drift_score{0} FROM psi"""
 ORACLES["drift_psi"] = evs(
-    _PSI_DRIFT.format(", round(CASE WHEN both THEN psi END, 6) AS psi, CAST(hb AS BIGINT) AS checks", 6), *_PSI_PAIR
+    _PSI_DRIFT.format(", round(CASE WHEN common THEN psi END, 6) AS psi, CAST(hb AS BIGINT) AS checks", 6), *_PSI_PAIR
 )
 ORACLES["drift_top_values"] = evs("""
 SELECT "window", field, value, round(proportion, 9) AS proportion, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "window", field
