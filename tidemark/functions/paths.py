@@ -168,70 +168,84 @@ class Field:
 
 
 class DocumentField(Field):
-    """A path into the document; derived forms become helper columns when first asked for."""
+    """A path into the document; derived forms become helper columns when first asked for.
 
-    FORMS = ("value", "schema", "kind", "text", "number", "size", "timestamp")
+    Helpers are flags, short names, texts and numbers. The value itself is
+    never kept in a column: a VARIANT carries the key names of the whole
+    document with it. Walking to a value is the expensive part, so whatever
+    the kind and the text can tell is read off them.
+    """
+
+    FORMS = ("kind", "exists", "is_none", "text", "number", "size", "timestamp")
+    # Forms of a later layer read the earlier ones.
+    LAYERS = (("kind",), ("exists", "is_none", "text"), ("number", "size", "timestamp"))
 
-    def __init__(self, path: str, prefix: str):
+    def __init__(self, path: str, prefix: str, doc: str):
         self.path = path
         self._prefix = prefix
+        self._doc = doc
         self._uses: set[str] = set()
 
     def __getattr__(self, form: str) -> str:
         if form not in self.FORMS:
             raise AttributeError(form)
         self._uses.add(form)
-        return f"{self._prefix}_{form}"
+        return self.column(form)
 
-    @property
-    def exists(self) -> str:
-        return f"{self.value} IS NOT NULL"
+    def column(self, form: str) -> str:
+        return f"{self._prefix}_{form}"
 
-    @property
-    def is_none(self) -> str:
-        return f"({self.value} IS NULL OR is_variant_null({self.value}))"
+    def _as(self, as_type: str) -> str:
+        return f"try_variant_get({self._doc}, {quote(variant_path(self.path))}, '{as_type}')"
 
     def beyond(self, bound, sign: str) -> str:
         if not isinstance(bound, int) or abs(bound) < 2**53:
             return f"{self.number} {sign} {float(bound)!r}D"
-        exact = f"{_get(self.value, 'decimal(38,0)')} {sign} {bound}"
+        # Beyond 2**53 doubles cannot tell integers apart; their text can.
+        exact = f"try_cast({self.text} AS DECIMAL(38,0)) {sign} {bound}"
         return f"if({self.is_kind(INT)}, {exact}, {self.number} {sign} {float(bound)!r}D)"
 
-    def define(self, doc: str) -> dict[str, str]:
-        """Definitions of the forms in use, each built on earlier ones."""
-        wanted = set(self._uses) | {"value"}
-        if wanted & {"size", "timestamp"}:
+    def define(self) -> dict[str, str]:
+        """Definitions of the forms in use."""
+        wanted = set(self._uses)
+        if wanted & {"number", "size", "timestamp"}:
             wanted.add("text")
-        if wanted & {"text", "number", "size", "timestamp"}:
+        if "text" in wanted:
             wanted.add("kind")
-        if "kind" in wanted:
-            wanted.add("schema")
-        value, schema, kind, text = (f"{self._prefix}_{form}" for form in ("value", "schema", "kind", "text"))
+        value, kind, text = self._as("variant"), self.column("kind"), self.column("text")
         made = {
-            "value": f"try_variant_get({doc}, {quote(variant_path(self.path))}, 'variant')",
-            "schema": f"schema_of_variant({value})",
-            "kind": variant_kind(schema),
-            "text": variant_text(value, kind),
+            "exists": f"{kind} <> 'absent'" if "kind" in wanted else f"{value} IS NOT NULL",
+            "is_none": (
+                f"{kind} IN ('absent', 'NoneType')"
+                if "kind" in wanted
+                else f"({value} IS NULL OR is_variant_null({value}))"
+            ),
+            "kind": variant_kind(f"schema_of_variant({value})"),
+            "text": case(
+                [
+                    (f"{kind} IN ('str', 'int')", self._as("string")),
+                    (f"{kind} = 'bool'", f"initcap({self._as('string')})"),
+                    (f"{kind} = 'float'", float_text(self._as("double"))),
+                    (f"{kind} IN ('list', 'dict')", f"to_json({value})"),
+                ]
+            ),
             "number": case(
                 [
-                    (f"{kind} = 'bool'", f"CAST(CAST({_get(value, 'boolean')} AS INT) AS DOUBLE)"),
-                    (f"{kind} IN ('int', 'float')", _get(value, "double")),
+                    (f"{kind} IN ('int', 'float')", f"try_cast({text} AS DOUBLE)"),
+                    (f"{kind} = 'bool'", f"if({text} = 'True', 1D, 0D)"),
                 ]
             ),
             "size": case(
                 [
                     (f"{kind} = 'str'", f"length({text})"),
-                    (f"{kind} = 'list'", f"size({_get(value, 'array<variant>')})"),
-                    (f"{kind} = 'dict'", f"size({_get(value, 'map<string,variant>')})"),
+                    (f"{kind} = 'list'", f"size({self._as('array<variant>')})"),
+                    (f"{kind} = 'dict'", f"size({self._as('map<string,variant>')})"),
                 ]
             ),
             "timestamp": f"CASE WHEN {kind} = 'str' THEN {iso_timestamp(text)} END",
         }
         return {form: made[form] for form in self.FORMS if form in wanted}
 
-    def column(self, form: str) -> str:
-        return f"{self._prefix}_{form}"
-
 
 class TableField(Field):
     """A typed column; absent and NULL cannot be told apart, so it always exists."""
@@ -334,16 +348,16 @@ class DocumentFields:
 
     def field(self, path: str) -> DocumentField:
         if path not in self._paths:
-            self._paths[path] = DocumentField(path, f"__{self._tag}{len(self._paths)}")
+            self._paths[path] = DocumentField(path, f"__{self._tag}{len(self._paths)}", name(self.doc))
         return self._paths[path]
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Add the helper columns the checks asked for: each path is extracted once."""
-        defined = [(f, f.define(name(self.doc))) for f in self._paths.values()]
-        for form in DocumentField.FORMS:
-            layer = [f"{made[form]} AS {f.column(form)}" for f, made in defined if form in made]
-            if layer:
-                df = df.selectExpr("*", *layer)
+        """Add the helper columns the checks asked for, each once however many checks read it."""
+        defined = [(f, f.define()) for f in self._paths.values()]
+        for layer in DocumentField.LAYERS:
+            made = [f"{forms[form]} AS {f.column(form)}" for f, forms in defined for form in layer if form in forms]
+            if made:
+                df = df.selectExpr("*", *made)
         return df
 
 

@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.sqltext import quote
 from tidemark.operators.ranks import cumulative_counts
@@ -84,7 +84,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return scale * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     """Tail probability of a chi-square statistic; runs on one row per field."""
     return pd.Series(
