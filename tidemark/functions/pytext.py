@@ -5,8 +5,23 @@ from __future__ import annotations
 from tidemark.functions.sqltext import case, quote
 
 
+def rare(value: str, make) -> str:
+    """``make(value)`` for branches few rows take.
+
+    The lambda binds the value once and is interpreted, so a long expression
+    adds a few lines instead of pages to the generated code.
+    """
+    return f"element_at(transform(array({value}), rare_x -> {make('rare_x')}), 1)"
+
+
 def float_text(d: str) -> str:
-    """``str(float)``: fixed notation between 1e-4 and 1e16, else a two-digit exponent."""
+    """``str(float)``: as the JVM prints it, but for exponents, NaN and infinities."""
+    java = f"CAST({d} AS STRING)"
+    return f"if({java} RLIKE '[EN]|Inf', {rare(d, _unusual_float)}, {java})"
+
+
+def _unusual_float(d: str) -> str:
+    """Fixed notation between 1e-4 and 1e16, else a two-digit exponent."""
     java = f"CAST({d} AS STRING)"
     digits = f"regexp_replace(CAST(CAST({d} AS DECIMAL(38,20)) AS STRING), '0+$', '')"
     fixed = f"regexp_replace({digits}, '[.]$', '.0')"
@@ -17,7 +32,6 @@ def float_text(d: str) -> str:
         [
             (f"isnan({d})", "'nan'"),
             (f"abs({d}) = double('infinity')", f"if({d} > 0, 'inf', '-inf')"),
-            (f"{d} = 0 OR (abs({d}) >= 1e-3 AND abs({d}) < 1e7)", java),
             (f"abs({d}) >= 1e-4 AND abs({d}) < 1e16", fixed),
             (f"{d} IS NOT NULL", exponent),
         ]
@@ -39,6 +53,18 @@ def iso_timestamp(text: str) -> str:
     The canonical form is tried first, so almost every row pays one regex and
     one cast; basic, week-date and reduced-precision forms are rebuilt into it.
     """
+    return case(
+        [
+            (f"{text} LIKE '0000%'", "CAST(NULL AS TIMESTAMP)"),
+            (f"{text} RLIKE {quote(_CANONICAL)}", f"try_cast({text} AS TIMESTAMP)"),
+            (f"{text} RLIKE {quote(_GENERAL)}", rare(text, _rebuilt_timestamp)),
+            (f"{text} RLIKE {quote(_LENIENT)}", f"try_cast({text} AS TIMESTAMP)"),
+        ]
+    )
+
+
+def _rebuilt_timestamp(text: str) -> str:
+    """The canonical form of any accepted one, cast to a timestamp."""
     general = quote(_GENERAL)
     date, clock, offset = (f"regexp_extract({text}, {general}, {n})" for n in (1, 2, 3))
 
@@ -66,17 +92,7 @@ def iso_timestamp(text: str) -> str:
         ],
         f"concat_ws(':', left({zone}, 3), substr({zone}, 4, 2), nullif(substr({zone}, 6, 2), ''))",
     )
-    return case(
-        [
-            (f"{text} LIKE '0000%'", "CAST(NULL AS TIMESTAMP)"),
-            (f"{text} RLIKE {quote(_CANONICAL)}", f"try_cast({text} AS TIMESTAMP)"),
-            (
-                f"{text} RLIKE {general}",
-                f"try_cast(concat({date_text}, 'T', {clock_text}, {offset_text}) AS TIMESTAMP)",
-            ),
-            (f"{text} RLIKE {quote(_LENIENT)}", f"try_cast({text} AS TIMESTAMP)"),
-        ]
-    )
+    return f"try_cast(concat({date_text}, 'T', {clock_text}, {offset_text}) AS TIMESTAMP)"
 
 
 _STRICT_UTC = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}Z$"

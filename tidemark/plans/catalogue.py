@@ -996,7 +996,9 @@ def event_stream(spark, sf) -> DataFrame:
     stream.createOrReplaceTempView(f"replay_{view}")
     out = spark.sql(EVENT_DOCS_SQL.replace("FROM events", f"FROM replay_{view}"))
     spark.catalog.dropTempView(f"replay_{view}")
-    return out.withColumn("ts", F.col("ts").cast("timestamp"))
+    # One file is one task; a real topic brings its own partitions.
+    spread = out.repartition(spark.sparkContext.defaultParallelism)
+    return spread.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ingested(spark, sf) -> ingest.IngestTables:

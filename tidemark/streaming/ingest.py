@@ -97,7 +97,8 @@ def ingest_batch(
     lookback: tuple[str, int] | None = None,
 ) -> None:
     """Decode, report duplicates, validate, and write every output of one micro-batch."""
-    parsed = decode(batch, raw)
+    # A micro-batch is bounded by its trigger; it is decoded once for all outputs.
+    parsed = decode(batch, raw).persist()
     tables.dead_letters.write(dead_letters(parsed), batch_id)
     events = decoded(parsed)
     fields = DocumentFields("doc")
@@ -121,6 +122,7 @@ def ingest_batch(
         tables.processed.write(_fresh(stored, tables.processed, batch_id, None), batch_id)
     finally:
         checked.unpersist()
+        parsed.unpersist()
 
 
 def _fresh(rows: DataFrame, table: BatchTable, batch_id: int, order_by: list[str] | None) -> DataFrame:
