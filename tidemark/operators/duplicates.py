@@ -8,7 +8,7 @@ few and splits when one key is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _order(order_by: list[str]) -> Column:
@@ -18,7 +18,7 @@ def _order(order_by: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in order_by])
 
 
-def _spread_nulls(key: Column, order_by: list[str]) -> Column:
+def spread_nulls(key: Column, order_by: list[str]) -> Column:
     """Keyless rows get a unique non-matching key so that they do not meet in one task."""
     return F.coalesce(key, F.concat(F.lit("~"), F.xxhash64(*[F.col(f"`{c}`") for c in order_by]).cast("string")))
 
@@ -38,7 +38,7 @@ def mark_duplicates(df: DataFrame, key: Column, order_by: list[str], flag: str =
         .select(F.col("__key").alias("__repeated"), "__first")
     )
     return (
-        keyed.withColumn("__key", _spread_nulls(F.col("__key"), order_by))
+        keyed.withColumn("__key", spread_nulls(F.col("__key"), order_by))
         .join(repeated, F.col("__key") == F.col("__repeated"), "left")
         .withColumn(flag, F.coalesce(F.col("__order") > F.col("__first"), F.lit(False)))
         .drop("__key", "__order", "__repeated", "__first")
@@ -74,8 +74,6 @@ def mark_duplicates_within(
         .groupBy(*keys, "__cell")
         .agg(F.min("__order").alias("__first"), F.max("__us").alias("__last"))
     )
-    from pyspark.sql import Window
-
     by_key = Window.partitionBy(*keys).orderBy("__cell")
     cells = cells.withColumn("__before", F.lag("__last").over(by_key)).select(
         *[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)],
@@ -138,8 +136,6 @@ def first_per_key(batch: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     ``row_number() <= 1`` is limited per map task before the exchange, so a
     hot key sends one row per task; keyless rows rank within their own hash.
     """
-    from pyspark.sql import Window
-
     order_cols = [F.col(f"`{c}`") for c in order_by]
     unkeyed = F.when(F.col(f"`{key}`").isNull(), F.struct(*order_cols))
     rank = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), unkeyed).orderBy(*order_cols))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.paths import DocumentFields
-from tidemark.operators.duplicates import first_per_key, mark_duplicates
+from tidemark.operators.duplicates import first_per_key, mark_duplicates, spread_nulls
 from tidemark.operators.validate import duplicates_enabled, validate, with_event_key
 from tidemark.sources.events import archive_rows, dead_letters, decode, decoded
 from tidemark.sources.flat_events import flat_rejects, flat_rows, flatten_events
@@ -80,9 +80,10 @@ def report_duplicates(
         recent = recent & (F.unix_micros(ts) - F.unix_micros("__seen") < lookback_seconds * 1_000_000)
     known = known.select(F.col("event_key").alias("__known"), "__seen")
     return (
-        marked.join(known, F.col("event_key") == F.col("__known"), "left")
+        marked.withColumn("__join", spread_nulls(F.col("event_key"), order_by))
+        .join(known, F.col("__join") == F.col("__known"), "left")
         .withColumn("is_duplicate", F.col("in_batch") | F.coalesce(recent, F.lit(False)))
-        .drop("in_batch", "__known", "__seen")
+        .drop("in_batch", "__join", "__known", "__seen")
     )
 
 
