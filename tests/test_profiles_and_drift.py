@@ -168,3 +168,12 @@ def test_empty_results(spark):
     alerts = results.alert_conditions(empty, "processing_time_ms").collect()[0]
     assert alerts["no_data"] and not alerts["high_failure_rate"]
     assert results.stats_between(empty).collect()[0]["total"] == 0
+
+
+def test_recent_results_default_tie_break(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES ('a', 'FAIL', array('x'), TIMESTAMP '2024-01-01 00:00:00'), ('b', 'WARN', array('x', 'y'), "
+        "TIMESTAMP '2024-01-01 00:00:00'), ('c', 'PASS', array(), TIMESTAMP '2024-01-02 00:00:00') AS t(event_id, status, failed_checks, validation_ts)"
+    )
+    got = results.recent_results(rows, 1)
+    assert got.columns == ["event_id", "status", "failures", "validation_ts"] and got.collect()[0]["event_id"] == "b"

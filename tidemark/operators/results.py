@@ -91,7 +91,12 @@ def recent_results(validated: DataFrame, limit: int = 10, tie_break: str = "even
         validated.filter("status IN ('WARN', 'FAIL')")
         .orderBy(F.col("validation_ts").desc(), F.col(tie_break).desc())
         .limit(limit)
-        .selectExpr("event_id", "status", "size(failed_checks) AS failures", "validation_ts", name(tie_break))
+        .selectExpr(
+            *dict.fromkeys([name(tie_break), "`event_id`"]),
+            "status",
+            "size(failed_checks) AS failures",
+            "validation_ts",
+        )
     )
 
 

@@ -91,8 +91,7 @@ def spread_scan(df: DataFrame) -> DataFrame:
     and are left alone, so no shuffle is added at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if files < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

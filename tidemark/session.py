@@ -43,8 +43,3 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         shared = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
