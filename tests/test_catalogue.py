@@ -2,11 +2,11 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.conftest import SF_DIR
 from tests.oracle import compare, connect
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from tidemark.plans.catalogue import QUERIES
+from tidemark.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
