@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -32,7 +32,14 @@ def landed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(vertices: DataFrame, edges: DataFrame, checked_every: int = 2) -> DataFrame:
+def landed_and_seen(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``landed``, and aggregates of its rows taken while they are written."""
+    seen = Observation()
+    kept = landed(df.observe(seen, *(c.alias(k) for k, c in measures.items())))
+    return kept, seen.get
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``vertices(id)`` and ``edges(a, b)`` to ``(id, component)``.
 
     ``component`` is the smallest id reachable. Alternates the large-star and
@@ -42,8 +49,6 @@ def components(vertices: DataFrame, edges: DataFrame, checked_every: int = 2) ->
     neighbour, a mergeable minimum, joined back to the edges. Null ids are not
     allowed; vertices without an edge are their own component.
     """
-    spark = edges.sparkSession
-    shared_folder(spark)
 
     def lowest(pairs: DataFrame) -> DataFrame:
         """u -> v pairs with the smallest of u and its neighbours.
@@ -64,19 +69,15 @@ def components(vertices: DataFrame, edges: DataFrame, checked_every: int = 2) ->
         )
         return small.filter("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
-    def fingerprint(current: DataFrame):
-        return current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    current = landed(
-        edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    state = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    current, seen = landed_and_seen(
+        edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), **state
     )
-    seen = fingerprint(current)
-    while seen[0]:
-        current = landed(stars(current))
-        now = fingerprint(current)
-        if now == seen:
+    while seen["n"]:
+        before = seen
+        current, seen = landed_and_seen(stars(current), **state)
+        if seen == before:
             break
-        seen = now
     # now every b has one edge, to the smallest id of its component
     roots = current.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     return vertices.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

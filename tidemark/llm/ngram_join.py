@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.frames import components, landed
+from tidemark.llm.frames import components, landed, landed_and_seen
 
 WORDS = 5
 #: Similarity of 80 % as a ratio of integers.
@@ -403,6 +403,19 @@ def _between_components(frequent: DataFrame, labels: DataFrame) -> DataFrame:
     ).select(F.col("x_a").alias("a"), F.col("x_na").alias("na"), F.col("y_a").alias("b"), F.col("y_na").alias("nb"))
 
 
+def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links between classes."""
+    ends = labels.select(F.col("id").alias("k"), F.col("component").alias("c"))
+    between = (
+        links.join(ends, F.col("a") == F.col("k")).select(F.col("c").alias("ca"), "b")
+        .join(ends, F.col("b") == F.col("k")).select(F.col("ca").alias("a"), F.col("c").alias("b"))
+    )
+    merged = components(labels.select(F.col("component").alias("id")).distinct(), between)
+    return labels.join(
+        merged.select((-F.col("id")).alias("k"), F.col("component").alias("whole")), -F.col("component") == F.col("k")
+    ).select("id", F.col("whole").alias("component"))
+
+
 def linked(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document row."""
     keys = landed(document_keys(documents))
@@ -414,28 +427,34 @@ def linked(documents: DataFrame) -> DataFrame:
         ).select("class", F.col("read.doc_id").alias("id"), F.col("read.text_key").alias("text_key"), "lowest", "bounds")
     )
     salted_from = 2 * int(sketch.mean()) + 100_000
-    met = landed(meetings(prefix_entries(documents, sketch, salted_from)))
+    met, seen = landed_and_seen(
+        meetings(prefix_entries(documents, sketch, salted_from)),
+        frequent=F.count_if(F.col("b").isNull()), salted=F.count_if(F.col("b").isNull() & (F.col("salt") > 0)),
+    )
     frequent = met.filter("b IS NULL").select("a", "na", "shingle", "salt", "position")
     candidates = met.filter("b IS NOT NULL").select("a", "na", "b", "nb")
-    first = landed(verified(candidates.union(_salt_leaders(frequent)), classes, documents))
-
+    compared = candidates.union(_salt_leaders(frequent)) if seen["salted"] else candidates
+    links = verified(compared, classes, documents)
     # rows of one doc_id are one document
-    repeated = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
-    same_id = rows.filter("n_shingles > 0").join(repeated.select(F.col("doc_id").alias("k"), "lo"), F.col("doc_id") == F.col("k")).select(
-        F.col("class").alias("a"), F.col("lo").alias("b")
-    ).filter("a != b")
-    labels = landed(components(classes.select(F.col("class").alias("id")), first.union(same_id)))
-
-    more = landed(_between_components(frequent, labels).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-    second = verified(more, classes, documents)
-    ends = labels.select(F.col("id").alias("k"), F.col("component").alias("c"))
-    between = (
-        second.join(ends, F.col("a") == F.col("k")).select(F.col("c").alias("ca"), "b")
-        .join(ends, F.col("b") == F.col("k")).select(F.col("ca").alias("a"), F.col("c").alias("b"))
+    repeated, seen_again = landed_and_seen(
+        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
+        .agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi"),
+        n=F.count(F.lit(1)),
     )
-    merged = components(labels.select(F.col("component").alias("id")).distinct(), between)
-    final = labels.join(merged.select(F.col("id").alias("k"), F.col("component").alias("whole")), F.col("component") == F.col("k"))
-    named = landed(final.select(F.col("id").alias("class"), "whole").join(classes.select("class", "lowest"), "class"))
+    if seen_again["n"]:
+        links = links.union(
+            rows.filter("n_shingles > 0").join(repeated.select(F.col("doc_id").alias("k"), "lo"), F.col("doc_id") == F.col("k"))
+            .select(F.col("class").alias("a"), F.col("lo").alias("b"))
+        )
+    labels = landed(components(classes.select(F.col("class").alias("id")), links))
+    if seen["frequent"]:
+        more, still = landed_and_seen(
+            _between_components(frequent, labels).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"),
+            n=F.count(F.lit(1)),
+        )
+        if still["n"]:
+            labels = landed(_joined_up(labels, verified(more, classes, documents)))
+    named = landed(labels.join(classes.select("class", "lowest"), F.col("id") == F.col("class")).select("class", F.col("component").alias("whole"), "lowest"))
     lowest = named.groupBy("whole").agg(F.min("lowest").alias("component_id"))
     by_class = named.select((-F.col("whole")).alias("w"), "class").join(
         lowest.select((-F.col("whole")).alias("v"), "component_id"), F.col("w") == F.col("v")
