@@ -25,7 +25,6 @@ import html as references
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -180,11 +179,11 @@ def train(pages: DataFrame, sample: int = 400) -> dict[str, float]:
         .select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
     )
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        weights = learned([Page(h) for h in rows["html"]])
-        return pd.DataFrame({"tag": list(weights), "weight": list(weights.values())})
+    def learn(rows: pa.Table) -> pa.Table:
+        weights = learned([Page(h) for h in rows.column("html").to_pylist()])
+        return pa.table({"tag": pa.array(weights.keys(), pa.string()), "weight": pa.array(weights.values(), pa.float64())})
 
-    rows = bounded.groupBy(F.lit(0).alias("whole_sample")).applyInPandas(learn, "tag string, weight double").collect()
+    rows = bounded.groupBy(F.lit(0).alias("whole_sample")).applyInArrow(learn, "tag string, weight double").collect()
     return {r["tag"]: r["weight"] for r in rows}
 
 

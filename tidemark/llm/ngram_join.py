@@ -36,7 +36,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -158,14 +157,15 @@ def document_keys(documents: DataFrame) -> DataFrame:
 def added_sketch(keys: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches, added slice by slice; ``COUNTERS`` numbers at any input size."""
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
+    def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // SLICES, dtype=np.uint64)
-        for piece in frame["counts"]:
-            total += np.frombuffer(zlib.decompress(piece), np.uint32)
-        return pd.DataFrame({"slice": frame["slice"][:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        for piece in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(piece.as_py()), np.uint32)
+        added = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([added], pa.binary())})
 
     pieces = keys.filter("slice IS NOT NULL").select("slice", "counts")
-    found = {r["slice"]: r["counts"] for r in pieces.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()}
+    found = {r["slice"]: r["counts"] for r in pieces.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
     empty = bytes(COUNTERS // SLICES * 4)
     return np.frombuffer(b"".join(found.get(i, empty) for i in range(SLICES)), dtype=np.uint32)
 

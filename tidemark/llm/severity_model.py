@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.frames import landed
@@ -153,22 +153,31 @@ def train(documents: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Sev
         .groupBy("id", "grade").agg(F.min("text").alias("text"))
     )
 
-    def reduce_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "grade": f["grade"], "words": [sorted(word_set(t)) for t in f["text"]]})
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(word_set(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["id", "grade", "words"]
+            )
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        grade = rows["grade"].to_numpy(dtype=np.int64)
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        grade = rows.column("grade").to_numpy().astype(np.int64)
         sampled = Counter(grade.tolist())
         weight = np.array([totals[g] / sampled[g] for g in grade.tolist()])
-        model = fit([set(w) for w in rows["words"]], grade, weight)
-        return pd.DataFrame([(list(model.weights), list(model.weights.values()), model.thresholds)], columns=["words", "weights", "thresholds"])
+        model = fit([set(w) for w in rows.column("words").to_pylist()], grade, weight)
+        return pa.table(
+            {
+                "words": pa.array([list(model.weights)], pa.list_(pa.string())),
+                "weights": pa.array([list(model.weights.values())], pa.list_(pa.float64())),
+                "thresholds": pa.array([model.thresholds], pa.list_(pa.float64())),
+            }
+        )
 
     learned = (
-        sample.mapInPandas(reduce_texts, "id long, grade int, words array<string>")
+        sample.mapInArrow(word_rows, "id long, grade int, words array<string>")
         .groupBy(F.lit(0).alias("whole_sample"))
-        .applyInPandas(learn, MODEL)
+        .applyInArrow(learn, MODEL)
         .first()
     )
     return Severity(dict(zip(learned["words"], learned["weights"])), list(learned["thresholds"])) if learned else Severity()
@@ -177,14 +186,18 @@ def train(documents: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Sev
 def scores(text: Column, model: Severity) -> Column:
     """Struct of ``severity``, ``p_toxic`` and ``grade`` (the most probable) of a text column."""
 
-    @F.pandas_udf("severity double, p_toxic double, grade int")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("severity double, p_toxic double, grade int")
+    def score(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts:
-            p = model.probabilities(text)
+            p = model.probabilities(text.as_py())
             mass = -np.diff([1.0, *p, 0.0])
             out.append((sum(p), p[0] if p else 0.0, int(mass.argmax())))
-        return pd.DataFrame(out, columns=["severity", "p_toxic", "grade"])
+        severity, p_toxic, grade = zip(*out) if out else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64()), pa.array(grade, pa.int32())],
+            names=["severity", "p_toxic", "grade"],
+        )
 
     return score(text)
 

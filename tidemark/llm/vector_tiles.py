@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.frames import components, landed
+from tidemark.llm.frames import components, forest, landed
 
 BLOCK = 1024
 #: Components up to which products of int8 sum exactly in single precision.
@@ -71,20 +71,6 @@ def exact_links(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, thre
     )
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n by the links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row."""
     rows = embeddings.select(
