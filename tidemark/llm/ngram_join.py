@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.frames import components, landed, landed_and_seen
+from tidemark.llm.frames import components, exchanged, landed, landed_and_seen
 
 WORDS = 5
 #: Similarity of 80 % as a ratio of integers.
@@ -327,8 +327,8 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame)
     bounds = representatives.select(F.col("class").alias("k"), "bounds")
     pairs = pairs.select("a", "na", "b", "nb").distinct()
     both = (
-        pairs.join(bounds.withColumnRenamed("bounds", "bounds_a"), F.col("a") == F.col("k")).drop("k")
-        .join(bounds.withColumnRenamed("bounds", "bounds_b"), F.col("b") == F.col("k")).drop("k")
+        pairs.join(exchanged(bounds.withColumnRenamed("bounds", "bounds_a")), F.col("a") == F.col("k")).drop("k")
+        .join(exchanged(bounds.withColumnRenamed("bounds", "bounds_b")), F.col("b") == F.col("k")).drop("k")
     )
 
     def suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,16 +339,16 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame)
 
     likely = landed(both.mapInArrow(suffix_filter, "a long, b long"))
     wanted = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
-    readers = wanted.join(representatives.select(F.col("class").alias("k"), F.col("id"), F.col("text_key")), "k")
+    readers = wanted.join(exchanged(representatives.select(F.col("class").alias("k"), F.col("id"), F.col("text_key"))), "k")
     # the text of one document of every class in question
     texts = readers.join(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"),
+        exchanged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")),
         (F.col("id").eqNullSafe(F.col("doc_id"))) & (F.col("text_key") == F.col("key")),
     ).groupBy("k").agg(F.first("text").alias("text"))
     texts = landed(texts)
     full = (
-        likely.join(texts.select(F.col("k").alias("ka"), F.col("text").alias("text_a")), F.col("a") == F.col("ka"))
-        .join(texts.select(F.col("k").alias("kb"), F.col("text").alias("text_b")), F.col("b") == F.col("kb"))
+        likely.join(exchanged(texts.select(F.col("k").alias("ka"), F.col("text").alias("text_a"))), F.col("a") == F.col("ka"))
+        .join(exchanged(texts.select(F.col("k").alias("kb"), F.col("text").alias("text_b"))), F.col("b") == F.col("kb"))
         .select("a", "b", "text_a", "text_b")
     )
 
@@ -379,7 +379,7 @@ def _salt_leaders(frequent: DataFrame) -> DataFrame:
     """Pairs that tie the parts of a salted shingle together: each part's leader and the leader of all."""
     parts = frequent.filter("salt > 0").groupBy("shingle", "salt").agg(F.min(F.struct("na", "a")).alias("part"))
     whole = parts.groupBy("shingle").agg(F.min("part").alias("all"))
-    both = parts.join(whole, "shingle").filter("part.a != all.a")
+    both = parts.join(exchanged(whole), "shingle").filter("part.a != all.a")
     low, high = F.least("part.a", "all.a"), F.greatest("part.a", "all.a")
     return both.select(
         low.alias("a"), F.when(low == F.col("part.a"), F.col("part.na")).otherwise(F.col("all.na")).alias("na"),
@@ -389,14 +389,14 @@ def _salt_leaders(frequent: DataFrame) -> DataFrame:
 
 def _between_components(frequent: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components that meet on a frequent shingle and pass the filters."""
-    seen = landed(frequent.join(labels.select(F.col("id").alias("k"), "component"), F.col("a") == F.col("k")).drop("k"))
+    seen = landed(frequent.join(exchanged(labels.select(F.col("id").alias("k"), "component")), F.col("a") == F.col("k")).drop("k"))
     mixed = seen.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rows = landed(seen.join(mixed.select((-F.col("shingle")).alias("m")), -F.col("shingle") == F.col("m"), "left_semi"))
+    rows = landed(seen.join(exchanged(mixed.select((-F.col("shingle")).alias("m"))), -F.col("shingle") == F.col("m"), "left_semi"))
     x = rows.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("a", "na", "position", "component")))
     y = rows.select(F.col("shingle").alias("s"), *(F.col(c).alias(f"y_{c}") for c in ("a", "na", "position", "component")))
     best = 1 + F.least(F.expr("x_na - x_position - 1"), F.expr("y_na - y_position - 1"))
     return x.join(
-        y,
+        exchanged(y),
         (F.col("shingle") == F.col("s")) & F.expr("x_a < y_a AND x_component != y_component")
         & (WHOLE * F.least("x_na", "y_na") >= SHARE * F.greatest("x_na", "y_na"))
         & ((SHARE + WHOLE) * best >= SHARE * F.expr("x_na + y_na")),
@@ -407,12 +407,12 @@ def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further links between classes."""
     ends = labels.select(F.col("id").alias("k"), F.col("component").alias("c"))
     between = (
-        links.join(ends, F.col("a") == F.col("k")).select(F.col("c").alias("ca"), "b")
-        .join(ends, F.col("b") == F.col("k")).select(F.col("ca").alias("a"), F.col("c").alias("b"))
+        links.join(exchanged(ends), F.col("a") == F.col("k")).select(F.col("c").alias("ca"), "b")
+        .join(exchanged(ends), F.col("b") == F.col("k")).select(F.col("ca").alias("a"), F.col("c").alias("b"))
     )
     merged = components(labels.select(F.col("component").alias("id")).distinct(), between)
     return labels.join(
-        merged.select((-F.col("id")).alias("k"), F.col("component").alias("whole")), -F.col("component") == F.col("k")
+        exchanged(merged.select((-F.col("id")).alias("k"), F.col("component").alias("whole"))), -F.col("component") == F.col("k")
     ).select("id", F.col("whole").alias("component"))
 
 
@@ -443,23 +443,23 @@ def linked(documents: DataFrame) -> DataFrame:
     )
     if seen_again["n"]:
         links = links.union(
-            rows.filter("n_shingles > 0").join(repeated.select(F.col("doc_id").alias("k"), "lo"), F.col("doc_id") == F.col("k"))
+            rows.filter("n_shingles > 0").join(exchanged(repeated.select(F.col("doc_id").alias("k"), "lo")), F.col("doc_id") == F.col("k"))
             .select(F.col("class").alias("a"), F.col("lo").alias("b"))
         )
     labels = landed(components(classes.select(F.col("class").alias("id")), links))
     if seen["frequent"]:
         more, still = landed_and_seen(
-            _between_components(frequent, labels).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"),
+            _between_components(frequent, labels).distinct().join(exchanged(compared.select("a", "b")), ["a", "b"], "left_anti"),
             n=F.count(F.lit(1)),
         )
         if still["n"]:
             labels = landed(_joined_up(labels, verified(more, classes, documents)))
-    named = landed(labels.join(classes.select("class", "lowest"), F.col("id") == F.col("class")).select("class", F.col("component").alias("whole"), "lowest"))
+    named = landed(labels.join(exchanged(classes.select("class", "lowest")), F.col("id") == F.col("class")).select("class", F.col("component").alias("whole"), "lowest"))
     lowest = named.groupBy("whole").agg(F.min("lowest").alias("component_id"))
     by_class = named.select((-F.col("whole")).alias("w"), "class").join(
-        lowest.select((-F.col("whole")).alias("v"), "component_id"), F.col("w") == F.col("v")
+        exchanged(lowest.select((-F.col("whole")).alias("v"), "component_id")), F.col("w") == F.col("v")
     ).select((-F.col("class")).alias("k"), F.col("component_id").alias("found"))
-    return rows.join(by_class, -F.col("class") == F.col("k"), "left").select(
+    return rows.join(exchanged(by_class), -F.col("class") == F.col("k"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")
     )
 
@@ -472,7 +472,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """
     groups = landed(linked(documents))
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    left = documents.join(exchanged(gone), documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
     again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return left

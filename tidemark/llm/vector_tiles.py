@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.frames import components, forest, landed
+from tidemark.llm.frames import components, exchanged, forest, landed
 
 BLOCK = 1024
 #: Components up to which products of int8 sum exactly in single precision.
@@ -132,15 +132,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
         classes.select(F.col("class").alias("id")), told.select(F.col("class").alias("a"), F.col("root").alias("b"))
     )
     joined = landed(
-        classes.select("class", "lowest", "copies").join(found, F.col("class") == F.col("id")).join(links, F.col("class") == F.col("k"), "left")
+        classes.select("class", "lowest", "copies").join(exchanged(found), F.col("class") == F.col("id")).join(exchanged(links), F.col("class") == F.col("k"), "left")
         .select("class", "lowest", "component", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))
     # negated keys: plain exchanges on both sides, so the planner can split a hot one
     by_class = joined.join(
-        lowest.select((-F.col("component")).alias("c"), "component_id"), -F.col("component") == F.col("c")
+        exchanged(lowest.select((-F.col("component")).alias("c"), "component_id")), -F.col("component") == F.col("c")
     ).select((-F.col("class")).alias("k"), "n_links", "component_id")
-    return rows.select("vec_id", "class").join(by_class, -F.col("class") == F.col("k"), "left").select(
+    return rows.select("vec_id", "class").join(exchanged(by_class), -F.col("class") == F.col("k"), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
