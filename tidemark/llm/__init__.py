@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel with the plan: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -82,7 +81,6 @@ FROM encoded JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
 """
 
 
-@lru_cache(maxsize=2)
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
