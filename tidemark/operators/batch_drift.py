@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -84,13 +84,11 @@ def _upper_gamma(a: float, x: float) -> float:
     return scale * h
 
 
-@F.pandas_udf(T.DoubleType())
-def chi_square_p(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def chi_square_p(statistic: pa.Array, freedom: pa.Array) -> pa.Array:
     """Tail probability of a chi-square statistic; runs on one row per field."""
-    return pd.Series(
-        [_upper_gamma(k / 2, s / 2) if k > 0 else 1.0 for s, k in zip(statistic.astype(float), freedom)],
-        dtype="float64",
-    )
+    pairs = zip(statistic.to_pylist(), freedom.to_pylist())
+    return pa.array([_upper_gamma(k / 2, s / 2) if k > 0 else 1.0 for s, k in pairs], pa.float64())
 
 
 def chi_square(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
