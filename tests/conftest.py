@@ -24,6 +24,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("tidemark.scan.tasks", "8")
     yield configure(session)
     session.stop()
 

@@ -66,13 +66,23 @@ def test_capped_cardinality_beyond_the_sketch(spark, documents):
     }
 
 
-def test_flatten_depth_limit_keeps_deep_objects(documents):
-    docs = documents('{"a":{"b":{"c":{"d":1}}},"x":2,"e":{},"l":[{"z":1}],"n":null}')
-    leaves = flatten_document(docs.select("rid", "doc"), max_depth=2)
-    got = {r["path"]: (r["kind"], r["text"]) for r in leaves.collect()}
+def test_flatten_opens_every_level(documents):
+    keys = [f"k{i}" for i in range(1, 13)]
+    deep = "".join(f'{{"{k}":' for k in keys) + "1" + "}" * 12
+    docs = documents(deep, '{"a":{"b":{}},"x":2,"odd <key>":{"y>":"s"},"l":[{"z":{"w":1}}],"n":null}')
+    got = {r["path"]: (r["kind"], r["text"]) for r in flatten_document(docs.select("rid", "doc")).collect()}
     assert got == {
-        "a.b": ("dict", '{"c":{"d":1}}'), "x": ("int", "2"), "l": ("str", "<array[1]>"), "n": ("NoneType", None),
+        ".".join(keys): ("int", "1"), "x": ("int", "2"), "odd <key>.y>": ("str", "s"), "l": ("str", "<array[1]>"), "n": ("NoneType", None),
     }
+    profile = profiles.schema_profile(
+        flatten_document(docs.selectExpr("'baseline' AS window", "TIMESTAMP'2024-01-01' AS ts", "doc")),
+        profiles.row_counts(docs.selectExpr("'baseline' AS window")),
+    )
+    assert ".".join(keys) in {r["field"] for r in profile.collect()}
+
+
+def test_flatten_of_nothing(documents):
+    assert flatten_document(documents("x").select("rid", "doc").limit(0)).count() == 0
 
 
 def test_dominant_type_tie_goes_to_the_first_seen(spark):

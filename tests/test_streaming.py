@@ -50,7 +50,7 @@ def test_ingest_over_batches(spark, tmp_path):
     rejected = {r["rid"]: r["failed_checks"] for r in tables.quarantine.read(spark).collect()}
     assert rejected[3] == ["duplicate.id"] and rejected[6] == ["duplicate.id"]
     assert [r["rid"] for r in tables.dead_letters.read(spark).collect()] == [4]
-    assert sorted(r["event_id"] for r in tables.processed.read(spark).collect()) == ["1", "2", "5", "7", "8"]
+    assert sorted(r["event_id"] for r in tables.processed.read(spark).collect()) == ["1", "2", "5", "7"]
     assert sorted(r["event_id"] for r in tables.flat.read(spark).collect()) == ["1", "2", "5", "7"]
     assert [r["rejected"] for r in tables.flat_rejects.read(spark).collect()] == [["created_at"]]
 
@@ -67,6 +67,29 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert tables.results.read(spark).filter("status = 'FAIL'").count() == 2
 
 
+def test_tables_stay_unique_without_a_duplicate_check(spark, tmp_path):
+    rules = {k: v for k, v in event_rules().items() if k != "duplicate_check"}
+    tables = ingest.IngestTables(str(tmp_path / "out"))
+    for n, ids in enumerate([[1, 1, 8], [1, 2]]):
+        rows = [(10 * n + i, event(e)) for i, e in enumerate(ids)]
+        ingest.ingest_batch(spark.createDataFrame(rows, "rid long, raw string"), n, rules, AS_OF, tables, ["rid"])
+    for table in (tables.flat, tables.processed):
+        assert sorted(r["event_id"] for r in table.read(spark).collect()) == ["1", "2", "8"]
+
+
+def test_lookback_does_not_depend_on_how_batches_are_cut(spark, tmp_path):
+    rows = spark.sql("SELECT rid, event_key, CAST(t AS TIMESTAMP) AS ts FROM VALUES (1, 'a', '2024-01-01 00:00:00'), "
+                     "(2, 'a', '2024-01-01 09:00:00'), (3, 'a', '2024-01-01 09:30:00') AS v(rid, event_key, t)")
+    one = ingest.BatchTable(str(tmp_path / "one"))
+    whole = ingest.report_duplicates(rows, 0, one, ["rid"], "ts", 3600)
+    assert {r["rid"]: r["is_duplicate"] for r in whole.collect()} == {1: False, 2: False, 3: True}
+    many, cut = ingest.BatchTable(str(tmp_path / "many")), {}
+    for n in range(3):
+        out = ingest.report_duplicates(rows.filter(f"rid = {n + 1}"), n, many, ["rid"], "ts", 3600)
+        cut |= {r["rid"]: r["is_duplicate"] for r in out.collect()}
+    assert cut == {1: False, 2: False, 3: True}
+
+
 def test_lookback_forgets_old_keys(spark, tmp_path):
     seen = ingest.BatchTable(str(tmp_path / "keys"))
 

@@ -108,8 +108,16 @@ def duplicates_against_history(
     seconds: int = 3600,
     flag: str = "is_duplicate",
 ) -> DataFrame:
-    """C16 against stored results: the batch rows, flagged by history and by each other."""
+    """C16 against stored results: the batch rows, flagged by history and by each other.
+
+    Only history that the lookback can reach is read: the batch's earliest time,
+    one value looked up when the plan is built, becomes a predicate of the scan.
+    """
     columns = batch.columns
+    earliest = batch.agg(F.min(F.col(f"`{ts}`").cast("timestamp"))).first()[0]
+    if earliest is not None:
+        reach = F.lit(earliest) - F.expr(f"INTERVAL {int(seconds)} SECONDS")
+        history = history.filter(F.col(f"`{ts}`") >= reach)
     both = batch.withColumn("__stored", F.lit(False)).unionByName(
         history.select(*keys, ts, *[c for c in order_by if c not in keys and c != ts]).withColumn(
             "__stored", F.lit(True)

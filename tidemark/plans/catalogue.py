@@ -6,6 +6,7 @@ to text and floats rounded so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,7 +22,7 @@ from tidemark.functions.paths import (
 from tidemark.functions.severity import severity_sql
 from tidemark.operators import adhoc, batch_drift, drift, drift_reports, duplicates, profiles, results, validate as v, windows
 from tidemark.plans.event_rules import event_rules, only, without
-from tidemark.plans.faults import AS_OF, EVENT_DOCS_SQL, dirty_events, event_docs, event_text, table
+from tidemark.plans.faults import AS_OF, EVENT_DOCS_SQL, dealt, dirty_events, event_docs, event_text, table
 from tidemark.session import configure, work_folder
 from tidemark.sources import events as ev, flat_events as fl, sinks
 from tidemark.streaming import ingest
@@ -992,13 +993,11 @@ def event_stream(spark, sf) -> DataFrame:
     """The event table replayed as a stream of JSON texts."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    view = work_folder(spark, "v").rsplit("-", 1)[1]
+    view = uuid.uuid4().hex
     stream.createOrReplaceTempView(f"replay_{view}")
     out = spark.sql(EVENT_DOCS_SQL.replace("FROM events", f"FROM replay_{view}"))
     spark.catalog.dropTempView(f"replay_{view}")
-    # One file is one task; a real topic brings its own partitions.
-    spread = out.repartition(spark.sparkContext.defaultParallelism)
-    return spread.withColumn("ts", F.col("ts").cast("timestamp"))
+    return dealt(out).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ingested(spark, sf) -> ingest.IngestTables:

@@ -7,7 +7,6 @@ the same text, so both start from identical faulty rows.
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,13 +66,27 @@ FROM events
 """
 
 
+#: Session setting, unset unless a benchmark or test sets it.
+SCAN_TASKS = "tidemark.scan.tasks"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(str(Path(sf_dir) / f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt to the number of tasks that the caller's session sets in ``SCAN_TASKS``, else as it is read.
+
+    For benchmarks and tests on a table of one small file, which is one task
+    however many cores there are. Nothing is looked up in the data.
+    """
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _over_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     view = f"events_{uuid.uuid4().hex}"
-    spread_scan(table(spark, sf_dir, "events")).createOrReplaceTempView(view)
+    dealt(table(spark, sf_dir, "events")).createOrReplaceTempView(view)
     out = spark.sql(sql.replace("FROM events", f"FROM {view}"))
     spark.catalog.dropTempView(view)
     return out
@@ -84,16 +97,6 @@ def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_events(spark, sf_dir, EVENT_DOCS_SQL)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """More tasks for parsing when the input has fewer splits than the session has cores.
-
-    A table of one small file is one task; big inputs already have many splits
-    and are left alone, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rid, ts, raw, doc`` with the text parsed once into a VARIANT."""
     return evaluate_once(event_text(spark, sf_dir), doc=parse_document("raw"))

@@ -993,7 +993,11 @@ FROM (SELECT n.*, low, high, CASE WHEN high = low THEN 1 ELSE least(50, CAST(flo
 # ---- S: a replayed stream must equal its batch form -----------------------
 
 ORACLES["stream_validate"] = ORACLES["validate_severity"]
-ORACLES["stream_processed"] = valid("SELECT event_id, status AS validation_status FROM validated WHERE status <> 'FAIL'")
+# an event that cannot be flattened is in neither table
+ORACLES["stream_processed"] = valid(
+    "SELECT event_id, status AS validation_status FROM validated WHERE status <> 'FAIL' AND rid IN (SELECT rid FROM flat WHERE rejected = '')",
+    _FLAT,
+)
 ORACLES["stream_flat"] = valid(
     "SELECT event_id, event_type, repo_id, public, created_at FROM flat WHERE rejected = '' AND rid IN (SELECT rid FROM validated WHERE status <> 'FAIL')",
     _FLAT,

@@ -36,10 +36,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (local tests) is a temporary folder used.
+    A session of one process may go without the setting and gets a temporary
+    folder; on a cluster, where executors would write to their own disks, a
+    missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

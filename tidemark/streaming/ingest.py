@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.paths import DocumentFields
-from tidemark.operators.duplicates import first_per_key, mark_duplicates, spread_nulls
+from tidemark.operators.duplicates import first_per_key, mark_duplicates, mark_duplicates_within, spread_nulls
 from tidemark.operators.validate import duplicates_enabled, validate, with_event_key
 from tidemark.sources.events import archive_rows, dead_letters, decode, decoded
 from tidemark.sources.flat_events import flat_rejects, flat_rows, flatten_events
@@ -63,20 +63,31 @@ def report_duplicates(
     """Flag rows whose ``event_key`` came earlier, in this batch or in one before.
 
     Only distinct keys are stored and compared. Given an event time and a
-    lookback, keys last seen longer ago than that are ignored, and their old
-    folders can be deleted.
+    lookback, keys seen longer ago than that are ignored, in this batch as in
+    earlier ones, so the result does not depend on how batches are cut. Stored
+    keys that no row of this batch can reach are not read (a predicate of the
+    scan), and old folders can be deleted.
     """
     spark = batch.sparkSession
     time = F.max(ts) if ts else F.lit(None).cast("timestamp")
     fresh = batch.filter("event_key IS NOT NULL").groupBy("event_key").agg(time.alias("last_seen"))
     seen.write(fresh, batch_id)
     earlier = seen.before(spark, batch_id)
-    marked = mark_duplicates(batch, F.col("event_key"), order_by, "in_batch")
+    bounded = ts is not None and lookback_seconds is not None
+    if bounded:
+        marked = mark_duplicates_within(batch, ["event_key"], ts, order_by, lookback_seconds, "in_batch")
+    else:
+        marked = mark_duplicates(batch, F.col("event_key"), order_by, "in_batch")
     if earlier is None:
         return marked.withColumnRenamed("in_batch", "is_duplicate")
+    if bounded:
+        earliest = batch.agg(F.min(ts)).first()[0]
+        if earliest is not None:
+            reach = F.lit(earliest) - F.expr(f"INTERVAL {int(lookback_seconds)} SECONDS")
+            earlier = earlier.filter(F.col("last_seen") > reach)
     known = earlier.groupBy("event_key").agg(F.max("last_seen").alias("__seen"))
     recent = F.col("__known").isNotNull()
-    if ts and lookback_seconds is not None:
+    if bounded:
         recent = recent & (F.unix_micros(ts) - F.unix_micros("__seen") < lookback_seconds * 1_000_000)
     known = known.select(F.col("event_key").alias("__known"), "__seen")
     return (
@@ -100,6 +111,25 @@ def ingest_batch(
     """Decode, report duplicates, validate, and write every output of one micro-batch."""
     # A micro-batch is bounded by its trigger; it is decoded once for all outputs.
     parsed = decode(batch, raw).persist()
+    held = [parsed]
+    try:
+        _write_outputs(parsed, held, batch_id, rules, as_of, tables, order_by, lookback)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _write_outputs(
+    parsed: DataFrame,
+    held: list[DataFrame],
+    batch_id: int,
+    rules: dict,
+    as_of: str,
+    tables: IngestTables,
+    order_by: list[str],
+    lookback: tuple[str, int] | None,
+) -> None:
+    """Every output of a decoded micro-batch; what is cached on the way is added to ``held``."""
     tables.dead_letters.write(dead_letters(parsed), batch_id)
     events = decoded(parsed)
     fields = DocumentFields("doc")
@@ -111,29 +141,24 @@ def ingest_batch(
     else:
         checked = validate(events, rules, as_of, fields)
     checked = checked.persist()
-    try:
-        tables.results.write(result_rows(checked), batch_id)
-        tables.quarantine.write(checked.filter("status = 'FAIL'").drop("doc", "metadata"), batch_id)
-        passed = checked.filter("status <> 'FAIL'")
-        flattened = flatten_events(passed, keep=[*order_by, "status"])
-        tables.flat_rejects.write(flat_rejects(flattened), batch_id)
-        fresh = _fresh(flat_rows(flattened), tables.flat, batch_id, order_by)
-        tables.flat.write(fresh, batch_id)
-        stored = processed_rows(passed.select(*order_by, "event_id", "doc", "status"), processed_at=f"TIMESTAMP '{as_of}'" if as_of != "now" else "current_timestamp()")
-        tables.processed.write(_fresh(stored, tables.processed, batch_id, None), batch_id)
-    finally:
-        checked.unpersist()
-        parsed.unpersist()
-
-
-def _fresh(rows: DataFrame, table: BatchTable, batch_id: int, order_by: list[str] | None) -> DataFrame:
-    """A7 in a micro-batch: first of each event id that no earlier batch stored.
-
-    Rows reaching this point have passed the duplicate check, so without an
-    order at most one row per id is left.
-    """
-    if order_by:
-        rows = first_per_key(rows, "event_id", order_by)
+    held.append(checked)
+    tables.results.write(result_rows(checked), batch_id)
+    tables.quarantine.write(checked.filter("status = 'FAIL'").drop("doc", "metadata"), batch_id)
+    passed = checked.filter("status <> 'FAIL'").withColumnRenamed("event_id", "result_id")
+    flattened = flatten_events(passed, keep=[*order_by, "status", "result_id", "doc"])
+    tables.flat_rejects.write(flat_rejects(flattened).drop("doc", "result_id"), batch_id)
+    # Both tables get the same rows: an event that one cannot store is stored in neither.
+    fresh = _fresh(flat_rows(flattened), tables.flat, batch_id, order_by).persist()
+    held.append(fresh)
+    tables.flat.write(fresh.drop("doc", "result_id"), batch_id)
+    stored = fresh.drop("event_id").withColumnRenamed("result_id", "event_id")
+    stored_at = f"TIMESTAMP '{as_of}'" if as_of != "now" else "current_timestamp()"
+    tables.processed.write(processed_rows(stored, processed_at=stored_at), batch_id)
+
+
+def _fresh(rows: DataFrame, table: BatchTable, batch_id: int, order_by: list[str]) -> DataFrame:
+    """A7 in a micro-batch: first of each event id that no earlier batch stored."""
+    rows = first_per_key(rows, "event_id", order_by)
     earlier = table.before(rows.sparkSession, batch_id)
     if earlier is None:
         return rows
