@@ -55,20 +55,22 @@ WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
 SELECT word, pos, tok FROM state WHERE tok IS NOT NULL ORDER BY word, pos
 """
 
-#: The same on all rows of active words, kept step by step: faster for short words.
+#: The same for short words: all rows of active words at every step, each with its neighbour to the
+#: right, so that no step sorts. A pair's rank and places are one number (places are below 2^16).
 CONTRACT_SHORT = """
 WITH RECURSIVE state AS (
-    SELECT word, pos, tok, 0 AS step FROM laid_out
+    SELECT word, pos, tok, npos, ntok, 0 AS step FROM laid_out
   UNION ALL
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.rank ELSE s.tok END, s.step + 1
+    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.rank ELSE s.tok END,
+      CASE WHEN s.pos = b.pos THEN b.nnpos ELSE s.npos END,
+      CASE WHEN s.pos = b.pos THEN b.nntok WHEN s.npos = b.pos THEN b.rank ELSE s.ntok END, s.step + 1
     FROM state s JOIN (
-        SELECT word, (best).rank AS rank, (best).pos AS pos, (best).npos AS npos FROM (
-            SELECT n.word, min({'rank': m.rank, 'pos': n.pos, 'npos': n.npos}) AS best
-            FROM (
-                SELECT word, pos, tok, lead(pos) OVER w AS npos, lead(tok) OVER w AS ntok
-                FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) n JOIN merges m ON m.a = n.tok AND m.b = n.ntok
-            GROUP BY n.word)
+        SELECT x.word, x.rank, x.pos, x.npos, n.npos AS nnpos, n.ntok AS nntok
+        FROM (
+            SELECT word, (best >> 32)::INT AS rank, ((best >> 16) & 65535)::INT AS pos, (best & 65535)::INT AS npos FROM (
+                SELECT s.word, min(m.rank::BIGINT * 4294967296 + s.pos * 65536 + s.npos) AS best
+                FROM state s JOIN merges m ON m.a = s.tok AND m.b = s.ntok GROUP BY s.word)
+        ) x JOIN state n ON n.word = x.word AND n.pos = x.npos
     ) b ON b.word = s.word AND s.pos <> b.npos
 )
 SELECT word, pos, tok FROM state SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
@@ -111,11 +113,14 @@ class Coder:
 
     def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
+        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        tok = self.one[np.frombuffer(b"".join(words), np.uint8)]
+        last = np.zeros(len(tok), bool)
+        last[np.cumsum(lengths) - 1] = True
         laid_out = pa.table(
             {
-                "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-                "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
-                "tok": self.one[np.frombuffer(b"".join(words), np.uint8)],
+                "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos, "tok": tok,
+                "npos": pa.array(pos + 1, mask=last), "ntok": pa.array(np.append(tok[1:], tok[:1]), mask=last),
             }
         )
         self.con.register("laid_out", laid_out)
