@@ -35,15 +35,6 @@ def landed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def exchanged(df: DataFrame) -> DataFrame:
-    """The right side of a join that is to stay a join of two exchanges, whatever its size.
-
-    Broadcasting passes a table through the driver; many small ones in a row
-    fill its memory for nothing.
-    """
-    return df.hint("merge")
-
-
 def landed_and_seen(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """``landed``, and aggregates of its rows taken while they are written."""
     seen = Observation()
@@ -112,7 +103,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         so both sides are plain exchanges and the planner can split a hub.
         """
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select((-F.col("u")).alias("k"), F.least("u", "m").alias("m"))
-        return pairs.join(exchanged(least), -F.col("u") == F.col("k")).select("u", "v", "m")
+        return pairs.join(least, -F.col("u") == F.col("k")).select("u", "v", "m")
 
     def stars(current: DataFrame) -> DataFrame:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select("b", "a"))
@@ -125,7 +116,9 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         return small.filter("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
     state = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
-    current, seen = landed_and_seen(contracted(edges.filter("a != b")), **state)
+    # Contracted where they are, then dealt to tasks of the planner's partition size and contracted again.
+    fewer = contracted(contracted(edges.filter("a != b")).hint("rebalance"))
+    current, seen = landed_and_seen(fewer, **state)
     while seen["n"]:
         before = seen
         current, seen = landed_and_seen(stars(current), **state)
@@ -133,4 +126,4 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             break
     # now every b has one edge, to the smallest id of its component
     roots = current.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
-    return vertices.join(exchanged(roots), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return vertices.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
