@@ -490,10 +490,12 @@ def test_suffix_filter_never_rules_out_a_link():
             assert ngram_join.may_overlap(ngram_join._bounds(x), ngram_join._bounds(y), len(x), len(y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("dealt", [50, frames.DEALT])
+def test_components(spark, dealt):
+    """By star steps, and by contraction alone."""
     random.seed(11)
     edges = [(random.randint(0, 80), random.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)]
     ids = list(range(0, 300))
-    found = dict(map(tuple, frames.components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()))
+    found = dict(map(tuple, frames.components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long").repartition(6), dealt).collect()))
     root = frames.forest(300, *np.array(edges).T)
     assert found == {i: int(root[i]) for i in ids}

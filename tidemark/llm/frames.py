@@ -42,8 +42,8 @@ def landed_and_seen(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]
     return kept, seen.get
 
 
-#: Edges that a task contracts at once.
-CONTRACTED = 2_000_000
+#: Edges that a task contracts at once, and that are dealt to a task in the second contraction.
+CONTRACTED, DEALT = 2_000_000, 500_000
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(work, "a long, b long")
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, dealt: int = DEALT) -> DataFrame:
     """Connected components: ``vertices(id)`` and ``edges(a, b)`` to ``(id, component)``.
 
     ``component`` is the smallest id reachable. Alternates the large-star and
@@ -92,8 +92,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     and Beyond", 2014) on checkpointed edge lists until nothing changes.
     Neighbourhoods are never gathered: each star needs only the smallest
     neighbour, a mergeable minimum, joined back to the edges. Before the first
-    step every task contracts the edges it holds. Null ids are not allowed;
-    vertices without an edge are their own component.
+    step every task contracts the edges it holds, and what is left is dealt to
+    one task for each ``dealt`` edges (at most ``CONTRACTED``) and contracted
+    again; edges that need one task only are stars by then, and no step follows.
+    Null ids are not allowed; vertices without an edge are their own component.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:
@@ -116,10 +118,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         return small.filter("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
     state = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
-    # Contracted where they are, then dealt to tasks of the planner's partition size and contracted again.
-    fewer = contracted(contracted(edges.filter("a != b")).hint("rebalance"))
-    current, seen = landed_and_seen(fewer, **state)
-    while seen["n"]:
+    current, seen = landed_and_seen(contracted(edges.filter("a != b")), **state)
+    tasks = max(1, -(-seen["n"] // dealt))
+    current, seen = landed_and_seen(contracted(current.repartition(tasks)), **state)
+    while tasks > 1:
         before = seen
         current, seen = landed_and_seen(stars(current), **state)
         if seen == before:
