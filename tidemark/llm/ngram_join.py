@@ -14,9 +14,10 @@ found, and connected, without comparing all documents:
 4. *Suffix filter.* Small histograms of the sets bound the overlap of a candidate.
 5. *Verification* of the distinct candidates, once each, on the full sets.
 6. *Frequent shingles.* Where more than ``RUN`` classes meet on one shingle, first
-   only neighbours in size and a leader are compared. Once these links are joined
-   to components, classes of different components that meet on such a shingle are
-   compared as well, so no link between components is lost. Very frequent ones
+   only a leader and classes ``STRIDES`` apart in size order are compared: a few
+   pairs a class, which join most of a group of near copies. Once these links are
+   joined to components, classes of different components that meet on such a shingle
+   are compared as well, so no link between components is lost. Very frequent ones
    are dealt to ``SALTS`` tasks.
 
 The result holds components, for which pairs inside one component add nothing.
@@ -45,8 +46,10 @@ from tidemark.llm.frames import components, landed, landed_and_seen
 WORDS = 5
 #: Similarity of 80 % as a ratio of integers.
 SHARE, WHOLE = 80, 100
-#: Largest number of classes on one shingle whose pairs are all candidates at once.
+#: Largest number of classes on one shingle whose pairs are all candidates at once, and the
+#: distances in size order at which the classes of a larger number are.
 RUN = 32
+STRIDES = (1, 2, 4, 8, 16)
 SALTS = 16
 #: Counters of the sketch, and the slices in which tasks' sketches are added up.
 COUNTERS, SLICES = 1 << 20, 64
@@ -267,12 +270,8 @@ def meetings(entries: DataFrame) -> DataFrame:
                 long_run[0] = True
             is_long = long_run[run_of]
             found = []
-            for d in range(1, RUN):
-                if n <= d:
-                    break
-                i = np.flatnonzero((run_of[d:] == run_of[:-d]) & (~is_long[d:] | (d == 1)))
-                if not len(i) and d > 1:
-                    break
+            for d in range(1, min(RUN, int(length.max()))):
+                i = np.flatnonzero((run_of[d:] == run_of[:-d]) & (~is_long[d:] | (d in STRIDES)))
                 found.append((i, i + d))
             i = np.flatnonzero(is_long & ~new)
             found.append((start[run_of[i]], i))
