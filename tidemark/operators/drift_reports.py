@@ -53,3 +53,17 @@ def report_rows(drifts: DataFrame, info_limit: int = 10) -> DataFrame:
         f"n - {info_limit} AS more",
     )
     return rows.filter("severity <> 'INFO'").unionByName(listed).unionByName(more)
+
+
+def report_json(drifts: DataFrame) -> DataFrame:
+    """Each finding as one JSON text in column ``finding``, null values included; write it with ``.write.text``.
+
+    Totals are ``drift.summarise``. Metadata, JSON text in the drift table, is
+    nested as JSON; text that is not JSON becomes null.
+    """
+    keys = ["drift_type", "entity", "field_name", "metric_name", "drift_score", "severity", "baseline_value", "current_value"]
+    return drifts.select(
+        F.to_json(
+            F.struct(*keys, F.expr("try_parse_json(metadata)").alias("metadata"), "detected_at"), {"ignoreNullFields": "false"}
+        ).alias("finding")
+    )

@@ -46,12 +46,16 @@ def archive_rows(df: DataFrame, raw: str = "raw", ingested: str = "current_times
     return df.selectExpr(f"{name(raw)} AS value", f"date_format({ingested}, 'yyyy-MM-dd') AS ingest_date")
 
 
-def ingest_stats(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Messages and size of a batch."""
-    return df.agg(
+def ingest_stats(df: DataFrame, raw: str = "raw", seconds: float | None = None) -> DataFrame:
+    """Messages and size of a batch, and the rate if the batch took ``seconds`` (0 for no time)."""
+    stats = df.agg(
         F.count("*").alias("messages"),
         F.expr(f"coalesce(sum(octet_length({name(raw)})), 0)").alias("bytes"),
     )
+    if seconds is None:
+        return stats
+    rate = F.col("messages") / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)
+    return stats.withColumn("messages_per_second", rate)
 
 
 def observe_ingest(df: DataFrame, raw: str = "raw", label: str = "ingest") -> tuple[DataFrame, Observation]:
