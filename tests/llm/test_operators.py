@@ -119,6 +119,29 @@ def test_pieces_equal_both_libraries():
         assert np.frombuffer(coded, "<u4").tolist() == expected
 
 
+def test_added_tokens_as_the_library_reads_them(spark):
+    """The tokenizer is as loaded: its added tokens are found in texts, alone, side by side and between blanks."""
+    from tokenizers import Tokenizer
+
+    tokenizer, ids_of = Tokenizer.from_file(VOCABULARY), pieces.PieceIds(VOCABULARY)
+    random.seed(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "one", " two", "é日", "'s", "12", "!", "<|"]
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " <|endoftext|> <|ENDOFTEXT|>"] + ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(400)]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [505, 50256, 11545]
+    assert [np.frombuffer(ids_of.encode(t), "<u2").tolist() for t in texts] == expected
+
+    df = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    told = [(i, len(e) + 1, zlib.crc32(np.array(e + [2], "<u4").tobytes())) for i, e in enumerate(expected[:40])]
+    starts = np.cumsum([0] + [n for _, n, _ in told]).tolist()
+    rows = sorted(bitplanes.written_and_read(df, VOCABULARY).collect())
+    assert [tuple(r) for r in rows] == [(i, s, n, c) for (i, n, c), s in zip(told, starts)]
+    for r in packing.packed(df, VOCABULARY).collect():
+        ids = expected[r.doc_id] + [1]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_byte_bpe(awkward, empty, documents):
     tik = encoder()
     for df in (awkward, documents):
