@@ -273,6 +273,27 @@ def test_main_text(spark):
     assert main_text.extracted(pages.limit(0), main_text.train(pages.limit(0))).count() == 0
 
 
+def page_text(html):
+    """The words of a page outside what is left out, whatever the region."""
+    page = main_text.Page(html)
+    return page.text(0, len(page.keys))
+
+
+@pytest.mark.parametrize("page, words", [
+    ('<p>a b c</p><svg class="i"/><p>rest of article</p>', "a b c\nrest of article"),
+    ('<p>a b c</p><svg><title/><path d="m"/><path d="n"/></svg><p>rest of it</p>', "a b c\nrest of it"),
+    ('<p>a b c</p><svg><style>p{}</style><metadata>rdf</metadata><text>axis</text></svg><p>rest of it</p>', "a b c\naxis\nrest of it"),
+    ("<p>a b c d</p><video-player src=x></video-player><p>rest</p>", "a b c d\nrest"),
+    ("<select-menu>one two three</select-menu><object-view>x y</object-view> <title-bar>four</title-bar>", "one two threex y four"),
+    ("<p>the sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is big</p>", "the sum x+y is big"),
+    ("<object data=x><param name=a>fall back words</object> and <audio src=y>no sound</audio> <video>no film", "fall back words and no sound no film"),
+    ("<p>a b c</p><select><option>x<option>y</select><template><p>t u v</p></template><p>d e f g</p>", "a b c\nd e f g"),
+    ("<p>a b c</p><script>x('<p>')", "a b c"), ("<p>a b c</p><textarea>t</textarea ><p>d e f</p>", "a b c\nd e f"),
+])
+def test_raw_elements_end_where_they_end(page, words):
+    assert page_text(page) == words
+
+
 def test_best_region_is_the_best():
     random.seed(2)
     for _ in range(200):

@@ -10,8 +10,10 @@ margin of one more point per wrong word holds. Weights that are only seen in
 other pages are ``UNSEEN``.
 
 Inside the region, words of scripts, styles, forms, navigation, notices,
-adverts and reader comments are left out. Blocks are joined by one newline, white
-space inside a block becomes one space.
+adverts and reader comments are left out, and what is never shown: titles,
+templates and the descriptions of drawings. Words of
+formulas and drawings and the fallback of objects, audio and video are words like
+others. Blocks are joined by one newline, white space inside a block becomes one space.
 
 Defined results: a null or empty page, and one without words, has the empty text;
 of equally good regions the first and shortest is taken; repeated rows are extracted
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,15 +34,19 @@ from pyspark.sql import DataFrame, functions as F
 UNSEEN, EPOCHS = -1.0, 20
 
 #: Elements whose content is not text to read, and those that are blocks of their own.
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|select|option|canvas|audio|video"
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that count as one tag, however many are inside, and those of them where "/>" closes any tag.
+WHOLE, FOREIGN = {"svg", "math", "template", "select"}, {"svg", "math"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
-    "legend", "li", "main", "menu", "nav", "ol", "optgroup", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th",
+    "legend", "li", "main", "menu", "nav", "ol", "optgroup", "p", "pre", "section", "summary", "table", "tbody", "td", "text", "tfoot", "th",
     "thead", "tr", "ul",
 }
-LEFT_OUT = {"nav", "aside", "footer", "form", "button", "menu", "dialog", "fieldset", "label"}
+LEFT_OUT = {
+    "nav", "aside", "footer", "form", "button", "menu", "dialog", "fieldset", "label", "select", "option", "template", "desc", "metadata",
+}
 LEFT_OUT_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup"
     r"|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
@@ -47,21 +54,33 @@ LEFT_OUT_CLASS = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
+
+
+class Element(NamedTuple):
+    name: str
+    key: str
+    number: int
+    whole: bool  # tags inside do not count
+    foreign: bool
 
 
 class Page:
     """The tokens of a page: tags with a key, texts with their words."""
 
     def __init__(self, html: str | None):
-        self.keys: list[str | None] = []  # tag key, or None for a text
+        self.keys: list[str | None] = []  # tag key, "" for a tag that does not count, or None for a text
         self.names: list[str] = []
         self.texts: list[str] = []  # words of a text, "" for a tag
         self.words: list[int] = []
-        stack: list[tuple[str, str, bool]] = []  # name, key, whether its words are left out
+        html, at = html or "", 0
+        # of each element, 0 is the page: its parent, whether its name or its class leaves it out
+        parents, named, classed = [0], [False], [False]
+        owners: list[tuple[int, int]] = []  # place of a text and its element
+        stack = [Element("", "", 0, False, False)]
         held: list[str] = []
 
         def tell() -> None:
@@ -69,38 +88,56 @@ class Page:
                 # joined first, so that references cut by the tokenizer are whole
                 text = references.unescape("".join(held))
                 held.clear()
-                out = bool(stack) and stack[-1][2]
-                self._put(None, "", "" if out else text, 0 if out else len(text.split()))
+                owners.append((len(self.keys), stack[-1].number))
+                self._put(None, "", text, len(text.split()))
 
-        for m in TOKEN.finditer(html or ""):
+        while at < len(html):
+            # always matches: a lone "<" is text
+            m = TOKEN.match(html, at)
+            at = m.end()
             if m["text"] is not None:
                 held.append(m["text"])
                 continue
             if m["name"] is None:
-                if m["raw"]:
-                    tell()
-                    self._put(m["raw"].lower(), m["raw"].lower(), "", 0)
                 continue
             tell()
-            name = m["name"].lower()
+            name, top = m["name"].lower(), stack[-1]
             if m["close"]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                key = stack[at][1] if at is not None else name
-                if at is not None:
-                    del stack[at:]
-                self._put("/" + key, name, "", 0)
-            else:
-                kinds = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m["rest"]))
-                key = ".".join([name, *sorted(kinds.lower().split())[:3]])
-                self._put(key, name, "", 0)
-                if name not in VOID and not m["rest"].endswith("/"):
-                    out = name in LEFT_OUT or bool(LEFT_OUT_CLASS.search(kinds)) or bool(stack) and stack[-1][2]
-                    if name == "p":  # a paragraph ends where the next begins
-                        while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a") and any(s[0] == "p" for s in stack):
-                            stack.pop()
-                        out = name in LEFT_OUT or bool(LEFT_OUT_CLASS.search(kinds)) or bool(stack) and stack[-1][2]
-                    stack.append((name, key, out))
+                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), None)
+                key, inner = name, top.whole
+                if place is not None:
+                    key, inner = stack[place].key, stack[place - 1].whole or name in WHOLE
+                    del stack[place:]
+                self._put("" if inner else "/" + key, name, "", 0)
+                continue
+            closed = m["rest"].endswith("/")
+            if name in RAW and not (closed and top.foreign):
+                self._put("" if top.whole else name, name, "", 0)
+                end = RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
+                continue
+            kinds = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m["rest"])).lower().split()
+            key = name if name in WHOLE else ".".join([name, *sorted(kinds)[:3]])
+            self._put("" if top.whole else key, name, "", 0)
+            if name in VOID or closed:
+                continue
+            if name == "p":  # a paragraph ends where the next begins
+                while stack[-1].name in ("p", "b", "i", "em", "strong", "span", "a") and any(s.name == "p" for s in stack):
+                    stack.pop()
+                top = stack[-1]
+            number = len(parents)
+            parents.append(top.number)
+            named.append(name in LEFT_OUT)
+            classed.append(bool(LEFT_OUT_CLASS.search(" ".join(kinds))))
+            foreign = name in FOREIGN or top.foreign and name not in ("foreignobject", "annotation-xml")
+            stack.append(Element(name, key, number, top.whole or name in WHOLE, foreign))
         tell()
+        out = [False] * len(parents)
+        for i in range(1, len(parents)):
+            out[i] = named[i] or classed[i] or out[parents[i]]
+        for i, number in owners:
+            if out[number]:
+                self.texts[i], self.words[i] = "", 0
 
     def _put(self, key: str | None, name: str, text: str, words: int) -> None:
         self.keys.append(key)
@@ -142,14 +179,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def token_scores(page: Page, weights: dict[str, float]) -> list[float]:
-    return [float(n) if k is None else weights.get(k, UNSEEN) for k, n in zip(page.keys, page.words)]
+    return [float(n) if k is None else weights.get(k, UNSEEN) if k else 0.0 for k, n in zip(page.keys, page.words)]
 
 
 def learned(pages: list[Page]) -> dict[str, float]:
     """Tag weights from the labelled pages among ``pages``."""
     known = [(p, p.labelled()) for p in pages]
     known = [(p, r) for p, r in known if r]
-    weights: dict[str, float] = {k: UNSEEN for p, _ in known for k in p.keys if k is not None}
+    weights: dict[str, float] = {k: UNSEEN for p, _ in known for k in p.keys if k}
     for _ in range(EPOCHS):
         wrong = 0
         for page, (start, end) in known:
@@ -165,7 +202,7 @@ def learned(pages: list[Page]) -> dict[str, float]:
                 for i in range(min(a, start), max(b, end)):
                     key = page.keys[i]
                     got, due = a <= i < b, start <= i < end
-                    if key is not None and got != due:
+                    if key and got != due:
                         weights[key] = min(0.0, weights[key] + (0.5 if due else -0.5))
         if not wrong:
             break
