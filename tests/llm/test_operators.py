@@ -294,6 +294,30 @@ def test_raw_elements_end_where_they_end(page, words):
     assert page_text(page) == words
 
 
+@pytest.mark.parametrize("kind", [
+    "no-sidebar", "content with-sidebar", "post comments-open", "single-post no-comments", "has-banner", "social-science", "sidebar", "ad",
+])
+def test_class_names_of_page_and_content(kind):
+    words = "all words of this page"
+    for name in ("html", "body", "main", "article"):
+        assert page_text(f'<{name} class="{kind}"><p>{words}</p></{name}>') == words
+    for name in ("main", "article"):
+        assert page_text(f'<div id="{kind}">lead <{name}><p>{words}</p></{name}></div>') == f"lead\n{words}"
+    if kind not in ("sidebar", "ad"):
+        assert page_text(f'<div class="{kind}"><p>{words}</p></div>') == words
+
+
+@pytest.mark.parametrize("kind", ["ad", "box ads", "comments", "comments-area", "comment_list", "cookie-banner", "Sidebar", "nav-links"])
+def test_left_out_classes(kind):
+    part = f'<div class="{kind}"><p>so much other text in here</p></div>'
+    assert page_text(f"<p>one two three four</p>{part}<p>five six seven eight nine</p>") == "one two three four\nfive six seven eight nine"
+
+
+def test_comments_in_articles():
+    page = '<main><article><p>one two three four</p></article><div id="comments"><article class="comment">me too, me too, me too</article></div></main>'
+    assert page_text(page) == "one two three four"
+
+
 def test_best_region_is_the_best():
     random.seed(2)
     for _ in range(200):

@@ -11,7 +11,10 @@ other pages are ``UNSEEN``.
 
 Inside the region, words of scripts, styles, forms, navigation, notices,
 adverts and reader comments are left out, and what is never shown: titles,
-templates and the descriptions of drawings. Words of
+templates and the descriptions of drawings. Such elements are known by name or by a
+whole token of class, id or role. The tokens never count on html, body, main and
+article, nor on an element that holds one of these; only an element named after
+reader comments may hold articles, the comments, if one came before. Words of
 formulas and drawings and the fallback of objects, audio and video are words like
 others. Blocks are joined by one newline, white space inside a block becomes one space.
 
@@ -38,6 +41,7 @@ RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that count as one tag, however many are inside, and those of them where "/>" closes any tag.
 WHOLE, FOREIGN = {"svg", "math", "template", "select"}, {"svg", "math"}
+HOLDERS = {"html", "body", "main", "article"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
@@ -47,11 +51,17 @@ BLOCKS = {
 LEFT_OUT = {
     "nav", "aside", "footer", "form", "button", "menu", "dialog", "fieldset", "label", "select", "option", "template", "desc", "metadata",
 }
+_COMMENTS = r"comments?|disqus|replies"
+_NAMES = (
+    rf"(?:ads?|advert\w*|banner|breadcrumbs?|{_COMMENTS}|cookies?|footer|menu|nav|navbar|navigation|newsletter|notice|popup"
+    r"|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+)
+#: A whole token: one of the names, or names and parts of a layout ("comment-list", "cookie-banner").
 LEFT_OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup"
-    r"|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    rf"{_NAMES}(?:[_-](?:{_NAMES}|area|bar|block|body|box|buttons?|container|form|items?|links?|list|panel|section|slot|unit|wrap|wrapper))*",
     re.IGNORECASE,
 )
+COMMENTS_CLASS = re.compile(rf"(?:{_COMMENTS})(?:[_-].*)?", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|(?P<text>[^<]+|<)",
@@ -79,9 +89,11 @@ class Page:
         html, at = html or "", 0
         # of each element, 0 is the page: its parent, whether its name or its class leaves it out
         parents, named, classed = [0], [False], [False]
+        comments: set[int] = set()
         owners: list[tuple[int, int]] = []  # place of a text and its element
         stack = [Element("", "", 0, False, False)]
         held: list[str] = []
+        articles = 0
 
         def tell() -> None:
             if held:
@@ -125,10 +137,17 @@ class Page:
                 while stack[-1].name in ("p", "b", "i", "em", "strong", "span", "a") and any(s.name == "p" for s in stack):
                     stack.pop()
                 top = stack[-1]
-            number = len(parents)
+            number, hits = len(parents), [k for k in kinds if LEFT_OUT_CLASS.fullmatch(k)]
             parents.append(top.number)
             named.append(name in LEFT_OUT)
-            classed.append(bool(LEFT_OUT_CLASS.search(" ".join(kinds))))
+            classed.append(bool(hits) and name not in HOLDERS)
+            if any(map(COMMENTS_CLASS.fullmatch, hits)):
+                comments.add(number)
+            if name in HOLDERS and not top.whole:
+                for s in stack:
+                    if name != "article" or not articles or s.number not in comments:
+                        classed[s.number] = False
+                articles += name == "article"
             foreign = name in FOREIGN or top.foreign and name not in ("foreignobject", "annotation-xml")
             stack.append(Element(name, key, number, top.whole or name in WHOLE, foreign))
         tell()
