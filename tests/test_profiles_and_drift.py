@@ -165,6 +165,25 @@ def test_chi_square_worked(spark):
     assert batch_drift.chi_square(unseen).collect()[0]["p_value"] == 0.0
 
 
+def test_numeric_drift_becomes_failure_rows(spark):
+    moved = [("moved", float(i % 100)) for i in range(1000)], [("moved", float(i % 100 + 40)) for i in range(500)]
+    same = [("same", float(i % 100)) for i in range(1000)], [("same", float(i % 100)) for i in range(500)]
+    gone = [("gone", 1.0)] * 9, []
+    values = both(spark, moved[0] + same[0] + gone[0], moved[1] + same[1] + gone[1])
+    bins = batch_drift.histogram_compare(values, 20)
+    ks = batch_drift.ks_two_sample(values)
+    counts = both(spark, [("t", v, 200) for v in "abc"], [("t", "a", 10), ("t", "b", 20), ("t", "c", 30)], "field string, value string, n long")
+    rows = batch_drift.distribution_drift_failures(batch_drift.chi_square(counts), ks=ks, histograms=bins).collect()
+    assert sorted((r["check_name"], r["field_path"]) for r in rows) == [
+        ("drift.distribution.histogram.moved", "moved"), ("drift.distribution.ks.moved", "moved"), ("drift.distribution.t", "t"),
+    ]
+    table = np.array([[r["baseline_n"], r["current_n"]] for r in bins.filter("field = 'moved'").collect()], float)
+    expected = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+    got = {r["field"]: r for r in batch_drift.histogram_test(bins).collect()}
+    assert got["moved"]["statistic"] == pytest.approx(((table - expected) ** 2 / expected).sum()) and got["moved"]["freedom"] == len(table) - 1
+    assert sorted(got) == ["moved", "same"] and got["same"]["p_value"] == pytest.approx(1.0)
+
+
 def test_gate_shuts_on_small_windows(spark):
     tagged = both(spark, [("x", 1.0)] * 3, [("x", 1.0)] * 2)
     sizes = windows.window_counts(tagged)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -122,7 +123,7 @@ def ks_two_sample(values: DataFrame, thresholds: dict | None = None) -> DataFram
     """H7 over ``window, field, value``: largest distance of the two distribution functions.
 
     The p-value is the asymptotic series; below 0.01 the severity is WARNING,
-    below 0.05 INFO.
+    below 0.05 INFO, and drift is detected where both windows have values.
     """
     limits = {"info_pvalue": 0.05, "warning_pvalue": 0.01, **(thresholds or {})}
     steps = cumulative_counts(values.filter("value IS NOT NULL"), ["field"])
@@ -146,6 +147,8 @@ def ks_two_sample(values: DataFrame, thresholds: dict | None = None) -> DataFram
         "*",
         f"CASE WHEN p_value < {limits['warning_pvalue']} THEN 'WARNING' "
         f"WHEN p_value < {limits['info_pvalue']} THEN 'INFO' ELSE 'NONE' END AS severity",
+        f"p_value < {limits['info_pvalue']}D AND baseline_n > 0 AND current_n > 0 AS drift_detected",
+        f"{limits['info_pvalue']}D AS significance_level",
     )
 
 
@@ -171,6 +174,27 @@ def histogram_compare(values: DataFrame, bins: int = 50) -> DataFrame:
     )
 
 
+def histogram_test(histograms: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """H9 over ``histogram_compare``: two-sample chi-square test of the bins, one row per field.
+
+    Both windows are samples here, so a bin the baseline never had counts with what
+    it holds. Fields without values in one window are left out.
+    """
+    totals = histograms.groupBy("field").agg(F.sum("baseline_n").alias("total_b"), F.sum("current_n").alias("total_c"), F.collect_list(
+        F.struct(F.col("baseline_n").cast("double").alias("b"), F.col("current_n").cast("double").alias("c"))
+    ).alias("bins"))
+    # Bins are few and bounded; the order of the sum is fixed.
+    tested = totals.filter("total_b > 0 AND total_c > 0").selectExpr(
+        "field",
+        "aggregate(array_sort(bins), 0D, (acc, x) -> acc + "
+        "power(x.b * sqrt(total_c / total_b) - x.c * sqrt(total_b / total_c), 2) / (x.b + x.c)) AS statistic",
+        "CAST(size(bins) - 1 AS BIGINT) AS freedom",
+    )
+    return tested.withColumn("p_value", chi_square_p("statistic", "freedom")).selectExpr(
+        "*", f"p_value < {alpha}D AS drift_detected", f"{alpha}D AS significance_level"
+    )
+
+
 def schema_drift_failures(differences: DataFrame, severity: str = "WARN") -> DataFrame:
     """H9: schema differences as failure rows, so that they can join other results."""
     return differences.filter("change <> 'frequency_change'").selectExpr(
@@ -184,10 +208,20 @@ def schema_drift_failures(differences: DataFrame, severity: str = "WARN") -> Dat
     )
 
 
-def distribution_drift_failures(tests: DataFrame, severity: str = "WARN") -> DataFrame:
-    """H9: failed distribution tests (H6) as failure rows."""
-    return tests.filter("drift_detected").selectExpr(
-        "concat('drift.distribution.', field) AS check_name",
+def distribution_drift_failures(
+    tests: DataFrame, severity: str = "WARN", ks: DataFrame | None = None, histograms: DataFrame | None = None
+) -> DataFrame:
+    """H9: failed distribution tests as failure rows: chi-square (H6), Kolmogorov-Smirnov (H7), histograms (H8).
+
+    The chi-square checks are named after their field, the others after test and field.
+    """
+    kinds = [("", tests), ("ks.", ks), ("histogram.", None if histograms is None else histogram_test(histograms))]
+    verdicts = [
+        t.selectExpr(f"{quote(kind)} AS kind", "field", "p_value", "drift_detected", "significance_level")
+        for kind, t in kinds if t is not None
+    ]
+    return reduce(DataFrame.unionByName, verdicts).filter("drift_detected").selectExpr(
+        "concat('drift.distribution.', kind, field) AS check_name",
         "field AS field_path",
         "'distribution_drift' AS check_type",
         f"{quote(severity)} AS severity",

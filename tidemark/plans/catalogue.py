@@ -975,9 +975,19 @@ def distribution_drift_failures(spark, sf):
     return batch_drift.distribution_drift_failures(tests).select("check_name", "check_type", "severity", "expected_value")
 
 
+@query
+def distribution_drift_failures_all(spark, sf):
+    """All three tests: value counts by chi-square, numbers by Kolmogorov-Smirnov and by histogram."""
+    numbers = event_numbers(spark, sf)
+    tests = batch_drift.chi_square(event_counts(spark, sf, ("event_type",)))
+    return batch_drift.distribution_drift_failures(
+        tests, ks=batch_drift.ks_two_sample(numbers), histograms=batch_drift.histogram_compare(numbers, 50)
+    ).select("check_name", "field_path", "check_type", "severity", "expected_value")
+
+
 @query
 def ks_two_sample(spark, sf):
-    tested = batch_drift.ks_two_sample(event_numbers(spark, sf))
+    tested = batch_drift.ks_two_sample(event_numbers(spark, sf)).drop("drift_detected", "significance_level")
     return _rounded(tested, "statistic", "p_value", digits=6)
 
 

@@ -969,6 +969,25 @@ ORACLES["distribution_drift_failures"] = evs(
     f"FROM chi WHERE statistic > {_CRITICAL}",
     _CHI,
 )
+_KS_P = "(SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * l * l)) FROM range(1, 101) t(k))"
+ORACLES["distribution_drift_failures_all"] = evs(
+    f"""
+SELECT 'drift.distribution.' || kind || field AS check_name, field AS field_path, 'distribution_drift' AS check_type, 'WARN' AS severity,
+ 'p >= 0.05' AS expected_value
+FROM (SELECT '' AS kind, field FROM chi WHERE statistic > {_CRITICAL}
+ UNION ALL SELECT 'ks.', field FROM (SELECT *, sqrt(nb::DOUBLE * nc / (nb + nc)) * d AS l FROM ks) WHERE l >= 0.2 AND {_KS_P} < 0.05
+ UNION ALL SELECT 'histogram.', field FROM hist WHERE x > 0 AND (SELECT sum(exp(-x / 2 + (a + n) * ln(x / 2) - lgamma(a + n + 1))) FROM range(0, 20000) t(n)) > 0.95)""",
+    _CHI,
+    "steps AS (SELECT field, value, count(*) FILTER (WHERE \"window\" = 'baseline') AS b, count(*) FILTER (WHERE \"window\" = 'current') AS c "
+    "FROM nums WHERE value IS NOT NULL GROUP BY ALL)",
+    "tot AS (SELECT field, sum(b)::DOUBLE AS nb, sum(c)::DOUBLE AS nc, min(value) AS low, max(value) AS high FROM steps GROUP BY field)",
+    "cum AS (SELECT field, sum(b) OVER o AS ub, sum(c) OVER o AS uc FROM steps WINDOW o AS (PARTITION BY field ORDER BY value))",
+    "ks AS (SELECT field, nb, nc, max(abs(ub / nb - uc / nc)) AS d FROM cum JOIN tot USING (field) WHERE nb > 0 AND nc > 0 GROUP BY ALL)",
+    "bins AS (SELECT field, nb, nc, sum(b) AS b, sum(c) AS c FROM steps JOIN tot USING (field) WHERE nb > 0 AND nc > 0 "
+    "GROUP BY field, nb, nc, CASE WHEN high = low THEN 1 ELSE least(50, CAST(floor((value - low) / (high - low) * 50) AS INTEGER) + 1) END)",
+    "hist AS (SELECT field, sum((b - nb * (b + c) / (nb + nc)) ** 2 / (nb * (b + c) / (nb + nc)) + (c - nc * (b + c) / (nb + nc)) ** 2 / (nc * (b + c) / (nb + nc))) AS x, "
+    "(count(*) - 1) / 2.0 AS a FROM bins GROUP BY field)",
+)
 ORACLES["ks_two_sample"] = evs(
     """
 SELECT field, round(statistic, 6) AS statistic, baseline_n, current_n,
