@@ -47,5 +47,5 @@ def test_stages(spark):
 def test_registered():
     names = queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_duplicates", "personal_data", "packing"]
-    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(oracle_sql()) <= set(names) and KEY

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, byte_bpe, host_quality, main_text, ngram_join, packing, pseudonyms, severity_model, vector_tiles, warc_bundles
+from tidemark.llm import (
+    bitplanes, byte_bpe, host_quality, license_scan, main_text, ngram_join, packing, pseudonyms, severity_model, spelling,
+    vector_tiles, warc_bundles, whitening,
+)
 
 #: Folder of the public tokenizers' vocabulary files, unless a caller names another.
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -69,10 +72,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_host_quality, op2_byte_bpe, op3_main_text, op4_packing, op5_pseudonyms, op6_warc_bundles, op7_vector_tiles,
-        op8_bitplanes, op9_severity, op10_ngram_join,
+        op8_bitplanes, op9_severity, op10_ngram_join, op11_spelling, op12_licenses, op13_whitening,
     )
 }
