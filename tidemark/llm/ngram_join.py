@@ -16,9 +16,13 @@ found, and connected, without comparing all documents:
 6. *Frequent shingles.* Where more than ``RUN`` classes meet on one shingle, first
    only a leader and classes ``STRIDES`` apart in size order are compared: a few
    pairs a class, which join most of a group of near copies. Once these links are
-   joined to components, classes of different components that meet on such a shingle
-   are compared as well, so no link between components is lost. Very frequent ones
-   are dealt to ``SALTS`` tasks.
+   joined to components, the classes of a shingle that still holds several components
+   meet as whole sets in blocks of at most ``TOGETHER``, and every two blocks of a
+   shingle in one task. There all pairs of different components are compared by parity
+   sketches, whose distance never exceeds that of the sets, and what these cannot rule
+   out by the sets themselves. A link joins its components at once, so a task gives at
+   most one row a class, never pairs, and no link between components is lost. Very
+   frequent shingles are dealt to ``SALTS`` tasks before.
 
 The result holds components, for which pairs inside one component add nothing.
 
@@ -51,6 +55,8 @@ SHARE, WHOLE = 80, 100
 RUN = 32
 STRIDES = (1, 2, 4, 8, 16)
 SALTS = 16
+#: Classes, and bytes of their sets, that one block of a frequent shingle holds at most.
+TOGETHER, TOGETHER_BYTES = 2048, 64 << 20
 #: Counters of the sketch, and the slices in which tasks' sketches are added up.
 COUNTERS, SLICES = 1 << 20, 64
 #: Distinct words whose hashes a task remembers.
@@ -321,6 +327,15 @@ def meetings(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, MEETINGS)
 
 
+def texts_of(wanted: DataFrame, representatives: DataFrame, documents: DataFrame) -> DataFrame:
+    """``k, text``: the text of one document of every class ``k`` in question."""
+    readers = wanted.join(representatives.select(F.col("class").alias("k"), F.col("id"), F.col("text_key")), "k")
+    return readers.join(
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"),
+        (F.col("id").eqNullSafe(F.col("doc_id"))) & (F.col("text_key") == F.col("key")),
+    ).groupBy("k").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame) -> DataFrame:
     """Links among the candidate pairs ``a, na, b, nb``; each is verified once, on whole texts."""
     bounds = representatives.select(F.col("class").alias("k"), "bounds")
@@ -338,13 +353,7 @@ def verified(pairs: DataFrame, representatives: DataFrame, documents: DataFrame)
 
     likely = landed(both.mapInArrow(suffix_filter, "a long, b long"))
     wanted = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
-    readers = wanted.join(representatives.select(F.col("class").alias("k"), F.col("id"), F.col("text_key")), "k")
-    # the text of one document of every class in question
-    texts = readers.join(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"),
-        (F.col("id").eqNullSafe(F.col("doc_id"))) & (F.col("text_key") == F.col("key")),
-    ).groupBy("k").agg(F.first("text").alias("text"))
-    texts = landed(texts)
+    texts = landed(texts_of(wanted, representatives, documents))
     full = (
         likely.join(texts.select(F.col("k").alias("ka"), F.col("text").alias("text_a")), F.col("a") == F.col("ka"))
         .join(texts.select(F.col("k").alias("kb"), F.col("text").alias("text_b")), F.col("b") == F.col("kb"))
@@ -386,20 +395,87 @@ def _salt_leaders(frequent: DataFrame) -> DataFrame:
     )
 
 
-def _between_components(frequent: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that meet on a frequent shingle and pass the filters."""
+def parity_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """One row of ``bits`` bits a set: whether an odd number of its members falls into a cell.
+
+    Two sketches differ in no more cells than the sets differ in members.
+    """
+    out = np.zeros((len(sets), bits // 8), np.uint8)
+    for row, members in zip(out, sets):
+        cells = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+        row[:] = np.packbits((cells & 1).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def joining_links(size: np.ndarray, position: np.ndarray, component: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of these classes as all their links would; pairs of one block only if there is one block.
+
+    Every pair of different components is compared. Found links are joined at once, so there are fewer than classes.
+    """
+    bits = min(1 << 16, max(256, 1 << (8 * int(np.median(size)) - 1).bit_length()))
+    sketches = parity_sketches(sets, bits)
+    two = len(np.unique(block)) > 1
+    size, position, component = size.astype(np.int64), position.astype(np.int64), component.copy()
+    links = []
+    for i in range(len(size) - 1):
+        j = np.arange(i + 1, len(size))
+        j = j[(component[j] != component[i]) & (not two or (block[j] != block[i]))]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        best = 1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1
+        j = j[(WHOLE * small >= SHARE * large) & ((SHARE + WHOLE) * best >= SHARE * (small + large))]
+        if not len(j):
+            continue
+        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        j = j[(SHARE + WHOLE) * apart <= (WHOLE - SHARE) * (size[i] + size[j])]
+        for k in j.tolist():
+            if component[k] == component[i]:
+                continue  # joined by a link found since
+            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if WHOLE * common >= SHARE * (size[i] + size[k] - common):
+                links.append((i, k))
+                component[component == component[k]] = component[i]
+    return links
+
+
+def _between_components(frequent: DataFrame, labels: DataFrame, representatives: DataFrame, documents: DataFrame) -> DataFrame:
+    """Verified links that join all components whose classes meet, and link, on a frequent shingle."""
     seen = landed(frequent.join(labels.select(F.col("id").alias("k"), "component"), F.col("a") == F.col("k")).drop("k"))
-    mixed = seen.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rows = landed(seen.join(mixed.select((-F.col("shingle")).alias("m")), -F.col("shingle") == F.col("m"), "left_semi"))
-    x = rows.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("a", "na", "position", "component")))
-    y = rows.select(F.col("shingle").alias("s"), *(F.col(c).alias(f"y_{c}") for c in ("a", "na", "position", "component")))
-    best = 1 + F.least(F.expr("x_na - x_position - 1"), F.expr("y_na - y_position - 1"))
-    return x.join(
-        y,
-        (F.col("shingle") == F.col("s")) & F.expr("x_a < y_a AND x_component != y_component")
-        & (WHOLE * F.least("x_na", "y_na") >= SHARE * F.greatest("x_na", "y_na"))
-        & ((SHARE + WHOLE) * best >= SHARE * F.expr("x_na + y_na")),
-    ).select(F.col("x_a").alias("a"), F.col("x_na").alias("na"), F.col("y_a").alias("b"), F.col("y_na").alias("nb"))
+    mixed = seen.groupBy("shingle").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(8 * F.sum("na") / TOGETHER_BYTES)).cast("int").alias("blocks"),
+    ).filter("lo < hi")
+    rows = landed(
+        seen.join(mixed.select((-F.col("shingle")).alias("m"), "blocks"), -F.col("shingle") == F.col("m"))
+        .select("shingle", "a", "position", "component", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"), "blocks").distinct()
+    )
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = pa.array([shingle_set(text.as_py(), hashes).tobytes() for text in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["k", "members"])
+
+    wanted = rows.select(F.col("a").alias("k")).distinct()
+    sets = texts_of(wanted, representatives, documents).mapInArrow(members, "k long, members binary")
+    # every two blocks of a shingle meet once
+    dealt = rows.join(sets, F.col("a") == F.col("k")).select(
+        "shingle", "a", "position", "component", "block", "members", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def compare(group: pa.Table) -> pa.Table:
+        names = group.column("a").to_numpy()
+        sets = [np.frombuffer(m.as_py(), np.uint64) for m in group.column("members")]
+        size = np.array([len(s) for s in sets])
+        columns = (group.column(c).to_numpy() for c in ("position", "component", "block"))
+        position, component, block = columns
+        pairs = joining_links(size, position, component, sets, block)
+        a, b = names[[i for i, _ in pairs]], names[[k for _, k in pairs]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    columns = ("a", "position", "component", "block", "members")
+    return dealt.groupBy("shingle", "low", "high").applyInArrow(
+        lambda group: compare(group.select(columns)), "a long, b long"
+    )
 
 
 def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -415,8 +491,11 @@ def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
     ).select("id", F.col("whole").alias("component"))
 
 
-def linked(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per document row."""
+def _class_components(documents: DataFrame, one_per_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``doc_id, text_key, n_shingles, class``), classes, and the component of every class (``id, component``).
+
+    With ``one_per_id`` the classes of rows that repeat a doc_id are one component.
+    """
     keys = landed(document_keys(documents))
     rows = keys.filter("slice IS NULL").drop("slice", "counts")
     sketch = added_sketch(keys)
@@ -432,27 +511,29 @@ def linked(documents: DataFrame) -> DataFrame:
     )
     frequent = met.filter("b IS NULL").select("a", "na", "shingle", "salt", "position")
     candidates = met.filter("b IS NOT NULL").select("a", "na", "b", "nb")
-    compared = candidates.union(_salt_leaders(frequent)) if seen["salted"] else candidates
-    links = verified(compared, classes, documents)
-    # rows of one doc_id are one document
-    repeated, seen_again = landed_and_seen(
-        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
-        .agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi"),
-        n=F.count(F.lit(1)),
-    )
-    if seen_again["n"]:
-        links = links.union(
-            rows.filter("n_shingles > 0").join(repeated.select(F.col("doc_id").alias("k"), "lo"), F.col("doc_id") == F.col("k"))
-            .select(F.col("class").alias("a"), F.col("lo").alias("b"))
+    links = verified(candidates.union(_salt_leaders(frequent)) if seen["salted"] else candidates, classes, documents)
+    if one_per_id:
+        repeated, seen_again = landed_and_seen(
+            rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
+            .agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi"),
+            n=F.count(F.lit(1)),
         )
+        if seen_again["n"]:
+            links = links.union(
+                rows.filter("n_shingles > 0").join(repeated.select(F.col("doc_id").alias("k"), "lo"), F.col("doc_id") == F.col("k"))
+                .select(F.col("class").alias("a"), F.col("lo").alias("b"))
+            )
     labels = landed(components(classes.select(F.col("class").alias("id")), links))
     if seen["frequent"]:
-        more, still = landed_and_seen(
-            _between_components(frequent, labels).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"),
-            n=F.count(F.lit(1)),
-        )
+        more, still = landed_and_seen(_between_components(frequent, labels, classes, documents), n=F.count(F.lit(1)))
         if still["n"]:
-            labels = landed(_joined_up(labels, verified(more, classes, documents)))
+            labels = landed(_joined_up(labels, more))
+    return rows, classes, labels
+
+
+def linked(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per document row."""
+    rows, classes, labels = _class_components(documents, one_per_id=True)
     named = landed(labels.join(classes.select("class", "lowest"), F.col("id") == F.col("class")).select("class", F.col("component").alias("whole"), "lowest"))
     lowest = named.groupBy("whole").agg(F.min("lowest").alias("component_id"))
     by_class = named.select((-F.col("whole")).alias("w"), "class").join(
@@ -464,16 +545,30 @@ def linked(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with its own columns.
+    """One row of each group of linked texts, with its own columns.
 
-    Rows that repeat the doc_id of the kept document go as well, but for one.
-    Documents without an id stay.
+    That is the row with the smallest doc_id, rows without one last, then with the
+    smallest hash of its text; of rows alike in both any one. Different texts under one
+    doc_id are documents of their own here. Rows without words all stay.
     """
-    groups = landed(linked(documents))
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    known = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(left.filter("doc_id IS NULL"))
+    rows, classes, labels = _class_components(documents, one_per_id=False)
+    # each class's first row, then each component's
+    of_class = rows.filter("n_shingles > 0").groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.count("*").alias("n")
+    )
+    first = labels.join(of_class, F.col("id") == F.col("class")).groupBy("component").agg(F.min("first").alias("first"))
+    stay = landed(first.select(F.col("first.doc_id").alias("stay_id"), F.col("first.text_key").alias("stay_key")))
+    whole = documents.select(
+        F.struct(*(documents[_quoted(c)] for c in documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key")
+    )
+    # only rows that a group keeps, or that have no words, remain
+    wordless = ~F.coalesce(F.col("row.text"), F.lit("")).rlike("[^ \\t-\\r]")
+    kept = whole.filter(~wordless).join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_key") == F.col("stay_key")), "left_semi")
+    again = rows.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["own_id", "own_key"])
+    return kept.union(whole.filter(wordless)).select("row.*")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
