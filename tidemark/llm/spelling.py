@@ -48,9 +48,9 @@ SYMBOLS = 8
 #: Longest word, in code points, whose neighbourhood is generated.
 SHORT = 32
 #: Bits of the bitmap, a power of two, and neighbours that a task hashes at once.
-BITS, HASHED = 25, 1 << 20
+BITS, HASHED = 25, 1 << 18
 #: Distinct words that a task counts before it passes the counts on, and bytes of a text it cuts into words at once.
-COUNTED, CHUNK = 500_000, 1 << 20
+COUNTED, CHUNK = 100_000, 1 << 20
 
 #: Runs of the letters in UTF-8; C3 begins all of U+00C0 to U+00FF and nothing else.
 RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
@@ -101,20 +101,21 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
-        def told() -> pa.RecordBatch:
-            words = {w.decode("utf-8"): n for w, n in counts.items() if n}
-            long_enough = [w for w in words if len(w) >= LETTERS]
+        def told() -> Iterator[pa.RecordBatch]:
+            words, numbers = [], []
+            for run, n in counts.items():
+                if n and len(run) >= LETTERS and len(word := run.decode("utf-8")) >= LETTERS:
+                    words.append(word)
+                    numbers.append(n)
             counts.clear()
-            columns = [pa.array(long_enough, pa.string()), pa.array([words[w] for w in long_enough], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counted(doc_id, text.as_py(), counts)
                 if len(counts) >= COUNTED:
-                    yield told()
-        if counts:
-            yield told()
+                    yield from told()
+        yield from told()
 
     words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "word string, n long")
     return words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OCCURRENCES)
