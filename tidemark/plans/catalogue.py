@@ -1012,10 +1012,38 @@ def event_stream(spark, sf) -> DataFrame:
 
 def _ingested(spark, sf) -> ingest.IngestTables:
     root = work_folder(spark, "ingest")
-    ingest.validate_stream(event_stream(spark, sf), event_rules(), AS_OF, root, ["rid"], available_now=True).awaitTermination()
+    stream = event_stream(spark, sf)
+    ingest.validate_stream(stream, event_rules(), AS_OF, root, ["rid"], lookback=ingest.FOREVER, available_now=True).awaitTermination()
     return ingest.IngestTables(root)
 
 
+REPLAYED = 4
+
+
+def replay_in_batches(spark, sf) -> DataFrame:
+    """The event table as a stream of about ``REPLAYED`` micro-batches, in the order of event time."""
+    folder = work_folder(spark, "replay")
+    rows = event_text(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [n / REPLAYED for n in range(1, REPLAYED)])).first()[0] or []
+    # later files are read later
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.filter(F.unix_micros("ts") >= low)
+        (part if high is None else part.filter(F.unix_micros("ts") < high)).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    stream = spark.readStream.schema("rid long, ts timestamp, raw string").option("maxFilesPerTrigger", max(1, -(-files // REPLAYED)))
+    return stream.parquet(folder)
+
+
+@query
+def stream_replay(spark, sf):
+    """Several micro-batches under the rule set's own lookback, by event time."""
+    root = work_folder(spark, "ingest")
+    stream = replay_in_batches(spark, sf)
+    ingest.validate_stream(stream, event_rules(), AS_OF, root, ["rid"], event_time="ts", available_now=True).awaitTermination()
+    rejected = ingest.IngestTables(root).quarantine.read(spark)
+    return rejected.selectExpr("rid", "event_id", "array_join(failed_checks, '|') AS failed_checks")
+
+
 @query
 def stream_validate(spark, sf):
     return _ingested(spark, sf).results.read(spark).groupBy("status", "severity").agg(F.count("*").alias("events"))

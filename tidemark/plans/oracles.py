@@ -1032,3 +1032,13 @@ ORACLES["stream_counters"] = docs(
     VALIDATED,
 )
 ORACLES["stream_archive"] = _ARCHIVE
+# a key is repeated if it came less than an hour before
+ORACLES["stream_replay"] = docs(
+    "SELECT rid, event_id, failed_checks FROM validated WHERE status = 'FAIL'",
+    KEYED.replace(
+        "row_number() OVER (PARTITION BY event_key ORDER BY rid)",
+        "CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_key ORDER BY ts, rid)) < 3600000000 THEN 2 ELSE 1 END",
+    ),
+    FAILED,
+    VALIDATED,
+)

@@ -1,24 +1,34 @@
 """Streaming forms (S1-S6). Batch operators are reused unchanged inside ``foreachBatch``.
 
-Every micro-batch writes under its own batch id and overwrites what a failed
-attempt left there, so a replay after a lost executor or driver changes
-nothing.
+Every attempt at a micro-batch writes into folders of its own, which one commit record
+makes visible together. A batch that has committed is not run again; a replay after a
+lost executor or driver starts from the same state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.paths import DocumentFields
 from tidemark.operators.duplicates import first_per_key, mark_duplicates, mark_duplicates_within, spread_nulls
-from tidemark.operators.validate import duplicates_enabled, validate, with_event_key
+from tidemark.operators.validate import duplicates_enabled, timestamp_sql, validate, with_event_key
 from tidemark.sources.events import archive_rows, dead_letters, decode, decoded
 from tidemark.sources.flat_events import flat_rejects, flat_rows, flatten_events
 from tidemark.sources.sinks import processed_rows, result_rows
+from tidemark.streaming.commits import CommitLog, Entry, State
+from tidemark.streaming.keystore import KeyStore
+
+#: Given as a lookback: a key once seen is a duplicate for good.
+FOREVER = None
+#: Given as a lookback: that of the rule set, ``lookback_window_seconds`` of its duplicate check.
+OF_RULES = "of rules"
+#: Seconds that an event may lag behind the newest one of earlier batches before it counts as late.
+DELAY = 86_400
 
 
 @dataclass(frozen=True)
@@ -33,11 +43,16 @@ class BatchTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.root).parquet(self.root)
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """Rows of earlier batches; ``batch_id`` is a partition column, so others are not read."""
-        if batch_id == 0:
-            return None
-        return self.read(spark).filter(F.col("batch_id") < batch_id)
+
+@dataclass(frozen=True)
+class CommittedTable:
+    """A table of a commit log."""
+
+    root: str
+    name: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return CommitLog(spark, self.root).read(self.name)
 
 
 @dataclass(frozen=True)
@@ -46,56 +61,98 @@ class IngestTables:
 
     root: str
 
-    def __getattr__(self, table: str) -> BatchTable:
-        if table not in ("keys", "results", "processed", "flat", "flat_rejects", "quarantine", "dead_letters"):
+    def __getattr__(self, table: str) -> CommittedTable:
+        if table not in ("results", "processed", "flat", "flat_rejects", "quarantine", "dead_letters", "late"):
             raise AttributeError(table)
-        return BatchTable(f"{self.root}/{table}")
+        return CommittedTable(self.root, table)
+
+
+@dataclass
+class Attempt:
+    """One attempt at a micro-batch: the state it reads, what it will commit, what it holds in memory."""
+
+    log: CommitLog
+    state: State
+    added: list[Entry]
+    removed: list[Entry]
+    held: list[DataFrame]
+
+    @staticmethod
+    def begun(log: CommitLog) -> "Attempt":
+        return Attempt(log, log.state(), [], [], [])
+
+    def write(self, table: str, df: DataFrame) -> None:
+        path = self.log.attempt(table)
+        df.write.parquet(path)
+        self.added.append(Entry(table, path))
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist())
+        return df
+
+    def store(self, keys: KeyStore, fresh: DataFrame, horizon: datetime | None = None) -> None:
+        added, replaced = keys.write(self.state, fresh, horizon)
+        self.added += added
+        self.removed += replaced
+
+
+def rule_lookback(rules: dict) -> int | None:
+    """How far back, in seconds, the rule set looks for a duplicate key; None for ever."""
+    return (rules.get("duplicate_check") or {}).get("lookback_window_seconds")
+
+
+def key_slices(log: CommitLog, lookback_seconds: int | None, delay: int = DELAY) -> KeyStore:
+    """The store of duplicate keys; its slices are as long as a lookback, or a quarter of what is kept if that is longer."""
+    return KeyStore(log, "keys", None if lookback_seconds is None else max(1, lookback_seconds, (lookback_seconds + delay) // 4))
 
 
 def report_duplicates(
     batch: DataFrame,
-    batch_id: int,
-    seen: BatchTable,
+    attempt: Attempt,
     order_by: list[str],
     ts: str | None = None,
-    lookback_seconds: int | None = None,
+    lookback_seconds: int | None = FOREVER,
+    delay: int = DELAY,
+    horizon: datetime | None = None,
 ) -> DataFrame:
     """Flag rows whose ``event_key`` came earlier, in this batch or in one before.
 
     Only distinct keys are stored and compared. Given an event time and a
     lookback, keys seen longer ago than that are ignored, in this batch as in
-    earlier ones, so the result does not depend on how batches are cut. Stored
-    keys that no row of this batch can reach are not read (a predicate of the
-    scan), and old folders can be deleted.
+    earlier ones, so the result does not depend on how batches are cut. Of the
+    stored keys only slices that the lookback reaches are asked, and only buckets
+    read that may hold a key of this batch. Rows without a key, and under a
+    lookback rows without a time, are no duplicates. Keys are not stored if they
+    were seen at ``horizon`` or before.
     """
-    spark = batch.sparkSession
-    time = F.max(ts) if ts else F.lit(None).cast("timestamp")
-    fresh = batch.filter("event_key IS NOT NULL").groupBy("event_key").agg(time.alias("last_seen"))
-    seen.write(fresh, batch_id)
-    earlier = seen.before(spark, batch_id)
     bounded = ts is not None and lookback_seconds is not None
+    store = key_slices(attempt.log, lookback_seconds if bounded else None, delay)
+    keyed = batch.filter(F.col("event_key").isNotNull() & (F.col(ts).isNotNull() if bounded else F.lit(True)))
+    time = F.max(ts) if ts else F.lit(None).cast("timestamp")
+    fresh = keyed.groupBy(F.col("event_key").alias("key")).agg(time.alias("seen"))
+    reach = None
     if bounded:
         marked = mark_duplicates_within(batch, ["event_key"], ts, order_by, lookback_seconds, "in_batch")
+        earliest = keyed.agg(F.unix_micros(F.min(ts))).first()[0]
+        reach = None if earliest is None else _moment(earliest) - timedelta(seconds=lookback_seconds)
     else:
         marked = mark_duplicates(batch, F.col("event_key"), order_by, "in_batch")
-    if earlier is None:
-        return marked.withColumnRenamed("in_batch", "is_duplicate")
-    if bounded:
-        earliest = batch.agg(F.min(ts)).first()[0]
-        if earliest is not None:
-            reach = F.lit(earliest) - F.expr(f"INTERVAL {int(lookback_seconds)} SECONDS")
-            earlier = earlier.filter(F.col("last_seen") > reach)
-    known = earlier.groupBy("event_key").agg(F.max("last_seen").alias("__seen"))
+    known = store.lookup(attempt.state, fresh, reach, attempt.held).select(F.col("key").alias("__known"), F.col("seen").alias("__seen"))
     recent = F.col("__known").isNotNull()
     if bounded:
         recent = recent & (F.unix_micros(ts) - F.unix_micros("__seen") < lookback_seconds * 1_000_000)
-    known = known.select(F.col("event_key").alias("__known"), "__seen")
-    return (
+    out = (
         marked.withColumn("__join", spread_nulls(F.col("event_key"), order_by))
         .join(known, F.col("__join") == F.col("__known"), "left")
         .withColumn("is_duplicate", F.col("in_batch") | F.coalesce(recent, F.lit(False)))
         .drop("in_batch", "__join", "__known", "__seen")
     )
+    attempt.store(store, fresh, horizon)
+    return out
+
+
+def _moment(micros: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
 def ingest_batch(
@@ -106,63 +163,97 @@ def ingest_batch(
     tables: IngestTables,
     order_by: list[str],
     raw: str = "raw",
-    lookback: tuple[str, int] | None = None,
+    lookback: tuple[str, int] | None = FOREVER,
+    *,
+    query: str = "direct",
+    event_time: str | None = None,
+    delay: int = DELAY,
 ) -> None:
-    """Decode, report duplicates, validate, and write every output of one micro-batch."""
+    """Decode, report duplicates, validate, write every output of one micro-batch, and commit them together.
+
+    ``lookback`` names an event time column and seconds. Given ``event_time``
+    (by default that column), rows more than ``delay`` seconds behind the newest
+    event of earlier batches are also listed in the table ``late`` (S5), and
+    stored keys that only later rows could meet are dropped.
+    """
+    attempt = Attempt.begun(CommitLog(batch.sparkSession, tables.root))
+    if attempt.state.batches.get(query, -1) >= batch_id:
+        return  # committed before the query could note it
+    ts = event_time or (lookback[0] if lookback else None)
     # A micro-batch is bounded by its trigger; it is decoded once for all outputs.
-    parsed = decode(batch, raw).persist()
-    held = [parsed]
+    parsed = attempt.hold(decode(batch, raw))
     try:
-        _write_outputs(parsed, held, batch_id, rules, as_of, tables, order_by, lookback)
+        facts = _event_times(parsed, attempt, as_of, order_by, ts, delay)
+        horizon = None
+        if lookback and "newest" in facts:
+            horizon = _moment(facts["newest"]) - timedelta(seconds=lookback[1] + delay)
+        _write_outputs(parsed, attempt, rules, as_of, order_by, lookback, delay, horizon)
+        if lookback:
+            gone = {e.path for e in attempt.removed}
+            expired = key_slices(attempt.log, lookback[1], delay).expired(attempt.state, horizon)
+            attempt.removed += [e for e in expired if e.path not in gone]
+        attempt.log.commit(attempt.state, query, batch_id, attempt.added, attempt.removed, facts)
     finally:
-        for df in held:
+        for df in attempt.held:
             df.unpersist()
 
 
+def _event_times(parsed: DataFrame, attempt: Attempt, as_of: str, order_by: list[str], ts: str | None, delay: int) -> dict:
+    """The newest event so far, in microseconds, not beyond ``as_of``; writes the late rows."""
+    if ts is None:
+        return {}
+    before = attempt.state.facts.get("newest")
+    bound = F.lit(None if before is None else before - delay * 1_000_000).cast("long")
+    late = parsed.filter(F.unix_micros(ts) < bound)
+    attempt.write("late", late.select(*order_by, F.col(ts).alias("event_time"), F.timestamp_micros(bound).alias("bound")))
+    newest = parsed.agg(F.least(F.unix_micros(F.max(ts)), F.expr(f"unix_micros(CAST({timestamp_sql(as_of)} AS TIMESTAMP))"))).first()[0]
+    known = [n for n in (before, newest) if n is not None]
+    return {"newest": max(known)} if known else {}
+
+
 def _write_outputs(
     parsed: DataFrame,
-    held: list[DataFrame],
-    batch_id: int,
+    attempt: Attempt,
     rules: dict,
     as_of: str,
-    tables: IngestTables,
     order_by: list[str],
     lookback: tuple[str, int] | None,
+    delay: int,
+    horizon: datetime | None,
 ) -> None:
-    """Every output of a decoded micro-batch; what is cached on the way is added to ``held``."""
-    tables.dead_letters.write(dead_letters(parsed), batch_id)
+    """Every output of a decoded micro-batch."""
+    attempt.write("dead_letters", dead_letters(parsed))
     events = decoded(parsed)
     fields = DocumentFields("doc")
     if duplicates_enabled(rules):
         ts, seconds = lookback or (None, None)
-        keyed = with_event_key(events, rules, fields)
-        events = report_duplicates(keyed, batch_id, tables.keys, order_by, ts, seconds).drop("event_key")
+        keyed = attempt.hold(with_event_key(events, rules, fields))
+        events = report_duplicates(keyed, attempt, order_by, ts, seconds, delay, horizon).drop("event_key")
         checked = validate(events, rules, as_of, fields, duplicate_flag="is_duplicate")
     else:
         checked = validate(events, rules, as_of, fields)
-    checked = checked.persist()
-    held.append(checked)
-    tables.results.write(result_rows(checked), batch_id)
-    tables.quarantine.write(checked.filter("status = 'FAIL'").drop("doc", "metadata"), batch_id)
+    checked = attempt.hold(checked)
+    attempt.write("results", result_rows(checked))
+    attempt.write("quarantine", checked.filter("status = 'FAIL'").drop("doc", "metadata"))
     passed = checked.filter("status <> 'FAIL'").withColumnRenamed("event_id", "result_id")
     flattened = flatten_events(passed, keep=[*order_by, "status", "result_id", "doc"])
-    tables.flat_rejects.write(flat_rejects(flattened).drop("doc", "result_id"), batch_id)
+    attempt.write("flat_rejects", flat_rejects(flattened).drop("doc", "result_id"))
     # Both tables get the same rows: an event that one cannot store is stored in neither.
-    fresh = _fresh(flat_rows(flattened), tables.flat, batch_id, order_by).persist()
-    held.append(fresh)
-    tables.flat.write(fresh.drop("doc", "result_id"), batch_id)
+    fresh = attempt.hold(_fresh(flat_rows(flattened), attempt, order_by))
+    attempt.write("flat", fresh.drop("doc", "result_id"))
     stored = fresh.drop("event_id").withColumnRenamed("result_id", "event_id")
     stored_at = f"TIMESTAMP '{as_of}'" if as_of != "now" else "current_timestamp()"
-    tables.processed.write(processed_rows(stored, processed_at=stored_at), batch_id)
+    attempt.write("processed", processed_rows(stored, processed_at=stored_at))
+    ids = fresh.filter("event_id IS NOT NULL").select(F.col("event_id").alias("key"), F.lit(None).cast("timestamp").alias("seen"))
+    attempt.store(KeyStore(attempt.log, "ids"), ids)
 
 
-def _fresh(rows: DataFrame, table: BatchTable, batch_id: int, order_by: list[str]) -> DataFrame:
+def _fresh(rows: DataFrame, attempt: Attempt, order_by: list[str]) -> DataFrame:
     """A7 in a micro-batch: first of each event id that no earlier batch stored."""
-    rows = first_per_key(rows, "event_id", order_by)
-    earlier = table.before(rows.sparkSession, batch_id)
-    if earlier is None:
-        return rows
-    return rows.join(earlier.select("event_id"), "event_id", "left_anti")
+    rows = attempt.hold(first_per_key(rows, "event_id", order_by))
+    asked = rows.filter("event_id IS NOT NULL").select(F.col("event_id").alias("key"))
+    stored = KeyStore(attempt.log, "ids").lookup(attempt.state, asked, None, attempt.held)
+    return rows.join(stored.select(F.col("key").alias("__stored")), F.col("event_id") == F.col("__stored"), "left_anti")
 
 
 def validate_stream(
@@ -173,14 +264,29 @@ def validate_stream(
     order_by: list[str],
     *,
     raw: str = "raw",
-    lookback: tuple[str, int] | None = None,
+    lookback: tuple[str, int] | str | None = OF_RULES,
+    event_time: str | None = None,
+    delay: int = DELAY,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Start the ingest; its tables and checkpoint live below ``root``."""
+    """Start the ingest; its tables and checkpoint live below ``root``.
+
+    Duplicates are looked for as far back as the rule set says, by ``event_time``
+    (``received_at`` if the stream has it), unless ``lookback`` names a time column
+    and seconds, or is ``FOREVER``.
+    """
     tables = IngestTables(root)
+    if event_time is None and "received_at" in stream.columns:
+        event_time = "received_at"
+    if lookback == OF_RULES:
+        seconds = rule_lookback(rules) if duplicates_enabled(rules) else None
+        if seconds is not None and event_time is None:
+            raise ValueError("the rule set has a lookback: name the event_time, or give lookback=FOREVER")
+        lookback = FOREVER if seconds is None else (event_time, seconds)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, rules, as_of, tables, order_by, raw, lookback)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        ingest_batch(batch, batch_id, rules, as_of, tables, order_by, raw, lookback, query=query, event_time=event_time, delay=delay)
 
     return _start(stream, run, root, available_now)
 
