@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import SF_DIR
-from tidemark.operators import windows
+from tidemark.operators import drift, ranks, windows
 from tidemark.plans import catalogue
 from tidemark.plans.faults import AS_OF, table
 
@@ -33,3 +33,48 @@ def test_time_windows_reach_the_scan(spark):
     text = plan(windows.tag_windows(table(spark, SF_DIR, "events"), "ts", baseline, current).select("event_id", "window"))
     pushed = text.split("PushedFilters: ")[1]
     assert "GreaterThanOrEqual(ts" in pushed and "ReadSchema: struct<event_id:bigint,ts" in text
+
+
+def test_drift_run_reads_and_decodes_twice(spark, monkeypatch):
+    """One pass lands the configured fields, one profiles the leaves; counts come without decoding."""
+    passes = []
+    plain = drift.landed
+
+    def watched(df):
+        passes.append(plan(df))
+        return plain(df)
+
+    monkeypatch.setattr(drift, "landed", watched)
+    passes.append(plan(catalogue.QUERIES["drift_run_documents"](spark, SF_DIR)))
+    assert len(passes) == 2
+    assert sum(p.count("FileScan") for p in passes) == 2 and sum(p.count("parseJson") for p in passes) == 2
+
+
+def test_percentiles_exchange_values_of_few_cells_only(spark):
+    text = plan(catalogue.QUERIES["percentiles_lineitem"](spark, SF_DIR))
+    exchanges = [n for n, line in enumerate(text.splitlines()) if "Exchange hashpartitioning(" in line and "value#" in line.split("ENSURE")[0]]
+    assert exchanges
+    below = "\n".join(text.splitlines()[exchanges[0] :])
+    assert "LeftSemi" in below and text.index("LeftSemi") < text.rindex("FileScan")
+
+
+@pytest.mark.parametrize("cells", [2, 16, 256])
+def test_distance_opens_few_cells(spark, cells):
+    """Bounds of cell counts leave few cells; the distance is that of all values."""
+    values = spark.range(20_000).selectExpr(
+        "if(id % 3 = 0, 'current', 'baseline') AS window", "'f' AS field", "if(id % 3 = 0, pow(id % 997, 1.1), id % 997) * 1.0D AS value"
+    )
+    bounds = ranks.distance_bounds(ranks.with_cells(values, ["field"], cells=cells), ["field"]).collect()
+    known = max(r["least"] for r in bounds)
+    if cells == 256:
+        assert 0 < len([r for r in bounds if r["most"] > known]) < 16
+    found = ranks.largest_distance(values, ["field"], cells).first()
+    rows = sorted((r["value"], r["window"] == "baseline") for r in values.collect())
+    total = {True: sum(b for _, b in rows), False: sum(not b for _, b in rows)}
+    seen, most = {True: 0, False: 0}, 0.0
+    for n, (value, b) in enumerate(rows):
+        seen[b] += 1
+        if n + 1 == len(rows) or rows[n + 1][0] != value:
+            most = max(most, abs(seen[True] / total[True] - seen[False] / total[False]))
+    assert found["statistic"] == pytest.approx(most, abs=1e-12)
+    assert (found["total_b"], found["total_c"]) == (total[True], total[False])

@@ -394,33 +394,37 @@ def present_fields(fields: Fields, paths: list[str]) -> str:
     return f"array_compact(array({flags}))"
 
 
-def object_depth(df: DataFrame, doc: str = "doc") -> int:
-    """The deepest nesting of any document, by one aggregate; lists count too, so it may exceed what is opened.
+def depth_sql(doc: str = "doc") -> str:
+    """Nesting of a document; lists count too, so it may exceed what is opened.
 
     The schema text of a document nests one ``<`` per object or list; quoted
     keys, the only place where other brackets can stand, are removed first.
     """
     shape = f"regexp_replace(regexp_replace(schema_of_variant({name(doc)}), '`(?:[^`]|``)*`', ''), '[^<>]', '')"
     steps = f"transform(filter(split({shape}, ''), c -> c <> ''), c -> if(c = '<', 1, -1))"
-    deepest = (
+    return (
         f"aggregate({steps}, named_struct('now', 0, 'most', 0), "
         "(a, s) -> named_struct('now', a.now + s, 'most', greatest(a.most, a.now + s)), a -> a.most)"
     )
-    return df.selectExpr(f"max({deepest}) AS depth").first()["depth"] or 0
 
 
-def flatten_document(df: DataFrame, doc: str = "doc") -> DataFrame:
+def object_depth(df: DataFrame, doc: str = "doc") -> int:
+    """The deepest nesting of any document, by one aggregate."""
+    return df.selectExpr(f"max({depth_sql(doc)}) AS depth").first()["depth"] or 0
+
+
+def flatten_document(df: DataFrame, doc: str = "doc", depth: int | None = None) -> DataFrame:
     """One row per leaf, as ``path``, ``kind``, ``text``, ``is_null`` beside the other columns.
 
     A linear chain of ``explode_outer`` steps, each opening one level of
     objects; finished rows pass through. Nothing is shuffled and nothing is
     gathered per document. Empty objects vanish, lists become ``<array[n]>``
-    text of kind ``str``. The chain is as long as the deepest document needs,
-    which one aggregate over the input tells when the plan is built.
+    text of kind ``str``. The chain is as long as the deepest document needs;
+    unless ``depth`` tells, one aggregate over the input does when the plan is built.
     """
     others = [name(c) for c in df.columns if c != doc]
     level = df.selectExpr(*others, "'' AS path", f"{name(doc)} AS __v").filter("__v IS NOT NULL")
-    for _ in range(object_depth(df, doc)):
+    for _ in range(object_depth(df, doc) if depth is None else depth):
         level = (
             level.selectExpr(*others, "path", "__v", f"{_get('__v', 'map<string,variant>')} AS __map")
             .selectExpr(*others, "path", "__v", "__map IS NOT NULL AS __open", "explode_outer(__map) AS (__key, __child)")

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.sqltext import quote
-from tidemark.operators.ranks import cumulative_counts
+from tidemark.operators.ranks import CELLS, largest_distance
 
 # Ship the tail probability with the plan: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,18 +119,16 @@ def chi_square(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
-def ks_two_sample(values: DataFrame, thresholds: dict | None = None) -> DataFrame:
+def ks_two_sample(values: DataFrame, thresholds: dict | None = None, cells: int = CELLS) -> DataFrame:
     """H7 over ``window, field, value``: largest distance of the two distribution functions.
 
     The p-value is the asymptotic series; below 0.01 the severity is WARNING,
-    below 0.05 INFO, and drift is detected where both windows have values.
+    below 0.05 INFO, and drift is detected where both windows have values. More
+    ``cells`` spread the ordering of values wider and leave less of it to do.
     """
     limits = {"info_pvalue": 0.05, "warning_pvalue": 0.01, **(thresholds or {})}
-    steps = cumulative_counts(values.filter("value IS NOT NULL"), ["field"])
-    distance = steps.groupBy("field").agg(
-        F.expr("max(abs(try_divide(upto_b, total_b) - try_divide(upto_c, total_c)))").alias("statistic"),
-        F.max("total_b").alias("baseline_n"),
-        F.max("total_c").alias("current_n"),
+    distance = largest_distance(values.filter("value IS NOT NULL"), ["field"], cells).selectExpr(
+        "field", "statistic", "total_b AS baseline_n", "total_c AS current_n"
     )
     scaled = distance.selectExpr(
         "*", "sqrt(CAST(baseline_n AS DOUBLE) * current_n / (baseline_n + current_n)) * statistic AS __l"

@@ -15,10 +15,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.paths import Fields
-from tidemark.functions.sqltext import case, quote
+from tidemark.functions.paths import Fields, depth_sql, flatten_document
+from tidemark.functions.sqltext import case, name, quote
 from tidemark.operators import profiles
 from tidemark.operators.validate import timestamp_sql
+from tidemark.session import landed
 from tidemark.operators.windows import TimeWindow, drift_windows, gate, tag_windows, window_counts
 
 # Default windows, thresholds, targets and profile limits of a run.
@@ -402,7 +403,7 @@ def compare_windows(
     df: DataFrame,
     as_of: datetime | str,
     fields: Fields,
-    leaves,
+    leaves=None,
     *,
     ts: str = "ts",
     config: dict | None = None,
@@ -410,8 +411,13 @@ def compare_windows(
 ) -> DataFrame:
     """Every comparison of the enabled detectors, gated by G2.
 
-    ``leaves`` turns the tagged rows into flattened leaves (see
-    ``flatten_document`` and ``flatten_table``).
+    ``leaves`` turns the tagged rows into flattened leaves (see ``flatten_table``);
+    documents are flattened by default.
+
+    The source is read twice. One pass lands the configured fields of both
+    windows as typed columns, when the plan is built; row counts, distributions,
+    statistics, null ratios, entities and the gate derive from these, as does the
+    depth to which documents are opened. The other pass profiles the leaves.
     """
     config = drift_config(config)
     windowing, limits, targets = config["windowing"], config["thresholds"], config["targets"]
@@ -421,29 +427,37 @@ def compare_windows(
     tagged = tag_windows(df, ts, baseline, current)
     profiling = config["profiling"]
     dist, vol, sch = targets["distribution_drift"], targets["volume_drift"], targets["schema_drift"]
-    categorical, numeric = dist["categorical_fields"], dist["numerical_fields"]
+    if not (sch["enabled"] or dist["enabled"] or vol["enabled"]):
+        raise ValueError("every detector is switched off")
+    categorical = dist["categorical_fields"] if dist["enabled"] or vol["enabled"] else []
+    numeric = dist["numerical_fields"] if dist["enabled"] else []
+    opened = sch["enabled"] and leaves is None
+    chosen = profiles.Targets(fields, categorical, numeric, ts, {"__depth": depth_sql(fields.doc)} if opened else None)
+    narrow = landed(chosen.read(tagged))
+    if opened:
+        depth = narrow.agg(F.max("__depth")).first()[0] or 0
+
+        def leaves(rows: DataFrame) -> DataFrame:
+            return flatten_document(rows.selectExpr("window", name(ts), name(fields.doc)), fields.doc, depth)
+
     parts = []
     if sch["enabled"]:
         profile = profiles.schema_profile(
-            leaves(tagged), profiles.row_counts(tagged), profiling["max_cardinality_track"], ts
+            leaves(tagged), profiles.row_counts(narrow), profiling["max_cardinality_track"], ts
         )
         parts.append(schema_comparisons(profile, limits["schema"], sch))
-    counts = None
-    if categorical and (dist["enabled"] or vol["enabled"]):
-        counts = profiles.value_counts(tagged, fields, categorical, ts)
+    counts = chosen.value_counts(narrow) if categorical else None
     if dist["enabled"]:
         if counts is not None:
             categories = profiles.categorical_profile(counts, profiling["categorical_max_categories"])
             parts.append(psi_comparisons(categories, limits["distribution"]["psi"]))
         if numeric:
-            values = profiles.numeric_values(tagged, fields, numeric)
-            parts.append(mean_shift_comparisons(profiles.numeric_profile(values)))
+            parts.append(mean_shift_comparisons(profiles.numeric_profile(chosen.numeric_values(narrow))))
         if dist["check_null_ratios"] and (categorical or numeric):
-            ratios = profiles.null_ratios(tagged, fields, categorical, numeric)
-            parts.append(null_ratio_comparisons(ratios, limits["distribution"]["null_ratio_change"]))
+            parts.append(null_ratio_comparisons(chosen.null_ratios(narrow), limits["distribution"]["null_ratio_change"]))
     if vol["enabled"]:
         if vol["check_global_volume"]:
-            parts.append(global_rate_comparison(window_counts(tagged), baseline, current, limits["volume"]))
+            parts.append(global_rate_comparison(window_counts(narrow), baseline, current, limits["volume"]))
         if vol["check_per_entity_volume"] and counts is not None:
             entities = profiles.entity_top_n(counts, vol["top_n_entities"])
             hours = (baseline.hours, current.hours) if normalize_entities else None
@@ -461,7 +475,7 @@ def compare_windows(
         f"{timestamp_sql(as_of)} AS detected_at",
         *COMPARISON[8:],
     )
-    return gate(stamped, tagged, profiling["min_sample_size"])
+    return gate(stamped, narrow, profiling["min_sample_size"])
 
 
 def findings(comparisons: DataFrame, include_stable: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions.once import evaluate_once
 from tidemark.functions.paths import Fields, TableField
 from tidemark.functions.sqltext import case, name, quote
-from tidemark.operators.ranks import percentiles
+from tidemark.operators.ranks import CELLS, percentiles
 
 PERCENTILES = [50, 95, 99]
 
@@ -63,6 +63,53 @@ def _long(tagged: DataFrame, fields: Fields, values: dict[str, str], keep: list[
     return fields.attach(tagged).selectExpr(*[name(k) for k in keep], f"inline(array({records}))")
 
 
+class Targets:
+    """The configured fields of tagged rows as typed columns, read once from their source.
+
+    ``columns`` holds one text column per categorical field, one number per
+    numerical field and one flag per field whose nulls are counted. Everything a
+    drift run compares, but for the schema, derives from these columns.
+    """
+
+    def __init__(self, fields: Fields, categorical: list[str], numeric: list[str], seen: str = "ts", extra: dict[str, str] | None = None):
+        self.fields, self.seen = fields, seen
+        numbers = {p: _as_number(fields.field(p)) for p in numeric}
+        self.texts = {p: f"__text{n}" for n, p in enumerate(categorical)}
+        self.numbers = {p: f"__number{n}" for n, p in enumerate(numeric)}
+        only_text = [p for p in categorical if p not in numeric]
+        self.nones = {p: f"__none{n}" for n, p in enumerate(only_text)}
+        self.extra = extra or {}
+        self._sql = [f"{fields.field(p).text} AS {c}" for p, c in self.texts.items()]
+        self._sql += [f"{numbers[p]} AS {c}" for p, c in self.numbers.items()]
+        self._sql += [f"{fields.field(p).is_none} AS {c}" for p, c in self.nones.items()]
+        self._sql += [f"{sql} AS {c}" for c, sql in self.extra.items()]
+
+    def read(self, tagged: DataFrame) -> DataFrame:
+        return self.fields.attach(tagged).selectExpr("window", name(self.seen), *self._sql)
+
+    def _long(self, narrow: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
+        records = ", ".join(f"named_struct('field', {quote(f)}, 'value', {c})" for f, c in columns.items())
+        return narrow.selectExpr(*[name(k) for k in keep], f"inline(array({records}))")
+
+    def value_counts(self, narrow: DataFrame) -> DataFrame:
+        """As ``value_counts``."""
+        return _counted(self._long(narrow, self.texts, ["window", self.seen]), self.seen)
+
+    def numeric_values(self, narrow: DataFrame) -> DataFrame:
+        """As ``numeric_values``."""
+        return self._long(narrow, self.numbers, ["window"])
+
+    def null_ratios(self, narrow: DataFrame) -> DataFrame:
+        """As ``null_ratios``."""
+        flags = {p: f"if({c}, 1, 0)" for p, c in self.nones.items()} | {p: f"if({c} IS NULL, 1, 0)" for p, c in self.numbers.items()}
+        return _null_shares(narrow, flags)
+
+
+def _counted(values: DataFrame, seen: str) -> DataFrame:
+    counted = values.groupBy("window", "field", "value").agg(F.count("*").alias("n"), F.min(seen).alias("seen"))
+    return evaluate_once(counted, value="value", n="n", seen="seen")
+
+
 def value_counts(tagged: DataFrame, fields: Fields, paths: list[str], seen: str = "ts") -> DataFrame:
     """Rows per ``window, field, value`` (value as text, NULL kept) with the first arrival.
 
@@ -71,8 +118,7 @@ def value_counts(tagged: DataFrame, fields: Fields, paths: list[str], seen: str
     two uses of the counts differ, which lets Spark reuse the exchange.
     """
     values = _long(tagged, fields, {p: fields.field(p).text for p in paths}, ["window", seen])
-    counted = values.groupBy("window", "field", "value").agg(F.count("*").alias("n"), F.min(seen).alias("seen"))
-    return evaluate_once(counted, value="value", n="n", seen="seen")
+    return _counted(values, seen)
 
 
 def categorical_profile(counts: DataFrame, max_categories: int | None = 100) -> DataFrame:
@@ -135,14 +181,16 @@ def numeric_stats(values: DataFrame) -> DataFrame:
     )
 
 
-def numeric_percentiles(values: DataFrame, ps: list[int] | None = None, approximate: bool = False) -> DataFrame:
+def numeric_percentiles(
+    values: DataFrame, ps: list[int] | None = None, approximate: bool = False, cells: int = CELLS
+) -> DataFrame:
     """exact by default; ``approximate`` trades exactness for a single pass."""
     ps = ps or PERCENTILES
     numbers = values.filter("value IS NOT NULL")
     if approximate:
         picks = [F.percentile_approx("value", p / 100, 10000).alias(f"p{p}") for p in ps]
         return numbers.groupBy("window", "field").agg(*picks)
-    return percentiles(numbers, ["window", "field"], ps)
+    return percentiles(numbers, ["window", "field"], ps, cells)
 
 
 def numeric_profile(values: DataFrame, approximate: bool = False) -> DataFrame:
@@ -159,9 +207,12 @@ def null_ratios(
     """share of nulls per field; a field in both lists is judged as a number."""
     flags = {p: f"if({fields.field(p).is_none}, 1, 0)" for p in categorical if p not in numeric}
     flags |= {p: f"if({_as_number(fields.field(p))} IS NULL, 1, 0)" for p in numeric}
+    return _null_shares(fields.attach(tagged), flags)
+
+
+def _null_shares(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
     # One row in, one wide partial aggregate out: nothing is unpivoted per event.
-    attached = fields.attach(tagged)
-    wide = attached.groupBy("window").agg(*[F.expr(f"avg({sql})").alias(f"__r{n}") for n, sql in enumerate(flags.values())])
+    wide = rows.groupBy("window").agg(*[F.expr(f"avg({sql})").alias(f"__r{n}") for n, sql in enumerate(flags.values())])
     pairs = ", ".join(f"{quote(f)}, __r{n}" for n, f in enumerate(flags))
     return wide.selectExpr("window", f"stack({len(flags)}, {pairs}) AS (field, null_ratio)")
 

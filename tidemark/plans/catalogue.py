@@ -825,9 +825,7 @@ def drift_run(spark, sf):
 @query
 def drift_run_documents(spark, sf):
     docs = event_docs(spark, sf)
-    compared = drift.compare_windows(
-        docs, AS_OF, DocumentFields(), lambda tagged: flatten_document(tagged.select("window", "ts", "doc"))
-    )
+    compared = drift.compare_windows(docs, AS_OF, DocumentFields())
     return scored(drift.findings(compared)).withColumn("drift_score", F.round("drift_score", 3))
 
 

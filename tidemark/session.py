@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on (first group) or are faster with (second).
 SETTINGS = {
@@ -33,6 +33,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the shared folder (see ``work_folder``)."""
+    work_folder(df.sparkSession, "landed")
+    return df.checkpoint(eager=True)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
