@@ -56,7 +56,7 @@ RUN = 32
 STRIDES = (1, 2, 4, 8, 16)
 SALTS = 16
 #: Classes, and bytes of their sets, that one block of a frequent shingle holds at most.
-TOGETHER, TOGETHER_BYTES = 2048, 64 << 20
+TOGETHER, TOGETHER_BYTES = 1024, 8 << 20
 #: Counters of the sketch, and the slices in which tasks' sketches are added up.
 COUNTERS, SLICES = 1 << 20, 64
 #: Distinct words whose hashes a task remembers.
