@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import DocumentFields
 from tidemark.operators.validate import validate
 from tidemark.plans.event_rules import event_rules
+from tidemark.sources import events
 from tidemark.sources.events import decode, decoded
 from tidemark.streaming import commits, ingest, keystore
 from tidemark.streaming.commits import CommitLog, Entry, State
@@ -264,3 +265,28 @@ def test_late_rows_leave_the_counters_only(spark, tmp_path):
     assert counted == {10: 1, 12: 3}
     tables = ingest.IngestTables(f"{root}-ingest")
     assert tables.results.read(spark).count() == 5 and [r["rid"] for r in tables.late.read(spark).collect()] == [4]
+
+
+def test_ties_of_a_file_stream_are_told_apart(spark, tmp_path):
+    """A1: rows of one micro-batch share the time they were received; their place in the source orders them."""
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.txt").write_text("\n".join([event(1), event(1), event(2), "broken"]))
+    (source / "b.txt").write_text("\n".join([event(1), event(3), event(3)]))
+    stream = events.read_event_stream(spark, "text", path=str(source))
+    assert set(events.ARRIVAL) <= set(stream.columns)
+    ingest.validate_stream(stream, event_rules(), AS_OF, root, available_now=True).awaitTermination()
+    tables = ingest.IngestTables(root)
+    rejected = tables.quarantine.read(spark).collect()
+    assert sorted(r["event_id"] for r in rejected) == ["1", "1", "3"] and {tuple(r["failed_checks"]) for r in rejected} == {("duplicate.id",)}
+    assert sorted(r["event_id"] for r in tables.flat.read(spark).collect()) == ["1", "2", "3"]
+    places = [(r["source"], r["position"]) for r in rejected]
+    assert len(set(places)) == 3 and all(p is not None for _, p in places)
+    assert tables.dead_letters.read(spark).count() == 1
+
+
+def test_kafka_records_keep_their_place(spark):
+    records = spark.sql("SELECT CAST('{}' AS BINARY) AS value, 't' AS topic, 3 AS partition, 7L AS offset, TIMESTAMP '2024-01-01' AS timestamp")
+    row = events.kafka_rows(records).first()
+    assert (row["raw"], row["source"], row["part"], row["position"]) == ("{}", "t", 3, 7)
+    assert events.with_positions(events.kafka_rows(records)).first()["position"] == 7

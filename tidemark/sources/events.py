@@ -9,21 +9,46 @@ from tidemark.functions.paths import parse_document
 from tidemark.functions.sqltext import name
 
 
+#: Columns that tell where a message stood in its source; together they are a unique arrival order.
+ARRIVAL = ["received_at", "source", "part", "position"]
+
+
 def read_event_stream(spark: SparkSession, source: str = "kafka", **options: str) -> DataFrame:
-    """A1: a stream with the message text in ``raw``.
+    """A1: a stream with the message text in ``raw`` and its place in the source in ``ARRIVAL``.
 
     For Kafka pass its options (``kafka.bootstrap.servers``, ``subscribe``);
     reading starts at the earliest offset unless told otherwise, and every
-    query has its own offsets, as separate consumer groups do. For files pass
-    ``path`` and use ``text``.
+    query has its own offsets, as separate consumer groups do. The place is
+    topic, partition and offset. For files pass ``path`` and use ``text``; the
+    place is the file, and the row's position once ``with_positions`` has seen
+    the micro-batch (a stream itself cannot number rows).
     """
     if source == "kafka":
         options.setdefault("startingOffsets", "earliest")
-        stream = spark.readStream.format("kafka").options(**options).load()
-        return stream.selectExpr("CAST(value AS STRING) AS raw", "timestamp AS received_at")
+        return kafka_rows(spark.readStream.format("kafka").options(**options).load())
     path = options.pop("path")
     stream = spark.readStream.format(source).options(**options).load(path)
-    return stream.withColumnRenamed("value", "raw").withColumn("received_at", F.current_timestamp())
+    others = [name(c) for c in stream.columns if c != "value"]
+    return stream.selectExpr(
+        *others, "value AS raw", "current_timestamp() AS received_at", "_metadata.file_path AS source", "0 AS part", "CAST(NULL AS BIGINT) AS position"
+    )
+
+
+def kafka_rows(records: DataFrame) -> DataFrame:
+    """A1: text and place of Kafka records."""
+    return records.selectExpr(
+        "CAST(value AS STRING) AS raw", "timestamp AS received_at", "topic AS source", "partition AS part", "offset AS position"
+    )
+
+
+def with_positions(batch: DataFrame) -> DataFrame:
+    """A1: number the rows of a micro-batch that came from files, in the order in which tasks read them.
+
+    The numbers depend on files and splits only, so a repeated task gives the same ones.
+    """
+    if not set(ARRIVAL) <= set(batch.columns):
+        return batch
+    return batch.withColumn("position", F.coalesce("position", F.monotonically_increasing_id()))
 
 
 def decode(df: DataFrame, raw: str = "raw", doc: str = "doc") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.paths import DocumentFields
 from tidemark.operators.duplicates import first_per_key, mark_duplicates, mark_duplicates_within, spread_nulls
 from tidemark.operators.validate import duplicates_enabled, timestamp_sql, validate, with_event_key
-from tidemark.sources.events import archive_rows, dead_letters, decode, decoded
+from tidemark.sources.events import ARRIVAL, archive_rows, dead_letters, decode, decoded, with_positions
 from tidemark.sources.flat_events import flat_rejects, flat_rows, flatten_events
 from tidemark.sources.sinks import processed_rows, result_rows
 from tidemark.streaming.commits import CommitLog, Entry, State
@@ -161,7 +161,7 @@ def ingest_batch(
     rules: dict,
     as_of: str,
     tables: IngestTables,
-    order_by: list[str],
+    order_by: list[str] | None = None,
     raw: str = "raw",
     lookback: tuple[str, int] | None = FOREVER,
     *,
@@ -171,17 +171,19 @@ def ingest_batch(
 ) -> None:
     """Decode, report duplicates, validate, write every output of one micro-batch, and commit them together.
 
-    ``lookback`` names an event time column and seconds. Given ``event_time``
+    ``order_by`` is a unique arrival order, by default the place in the source
+    (A1). ``lookback`` names an event time column and seconds. Given ``event_time``
     (by default that column), rows more than ``delay`` seconds behind the newest
     event of earlier batches are also listed in the table ``late`` (S5), and
     stored keys that only later rows could meet are dropped.
     """
+    order_by = order_by or ARRIVAL
     attempt = Attempt.begun(CommitLog(batch.sparkSession, tables.root))
     if attempt.state.batches.get(query, -1) >= batch_id:
         return  # committed before the query could note it
     ts = event_time or (lookback[0] if lookback else None)
     # A micro-batch is bounded by its trigger; it is decoded once for all outputs.
-    parsed = attempt.hold(decode(batch, raw))
+    parsed = attempt.hold(decode(with_positions(batch), raw))
     try:
         facts = _event_times(parsed, attempt, as_of, order_by, ts, delay)
         horizon = None
@@ -261,7 +263,7 @@ def validate_stream(
     rules: dict,
     as_of: str,
     root: str,
-    order_by: list[str],
+    order_by: list[str] | None = None,
     *,
     raw: str = "raw",
     lookback: tuple[str, int] | str | None = OF_RULES,
