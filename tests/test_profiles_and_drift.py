@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import DocumentFields, flatten_document
+from tidemark.functions.paths import DocumentFields, TableFields, flatten_document
 from tidemark.operators import batch_drift, drift, profiles, results, windows
 
 BASELINE, CURRENT = windows.drift_windows("2024-01-30 00:00:00")
@@ -206,3 +206,37 @@ def test_recent_results_default_tie_break(spark):
     )
     got = results.recent_results(rows, 1)
     assert got.columns == ["event_id", "status", "failures", "validation_ts"] and got.collect()[0]["event_id"] == "b"
+
+
+@pytest.mark.parametrize("tracked, spread", [(64, 3), (65_536, 1), (64, 1)])
+def test_top_entities_of_many_values(spark, tracked, spread):
+    """Candidates of a summary, counted exactly; where its bound does not decide, all values are."""
+    values = spark.range(60_000).selectExpr(
+        "if(id % 2 = 0, 'baseline', 'current') AS window", "'f' AS field",
+        f"if(id % {spread} = 0 OR id % 7 = 0, concat('v', CAST(id % 40 * (id % 40) DIV 60 AS STRING)), concat('r', id)) AS value",
+        "timestamp_seconds(id) AS ts",
+    )
+    summaries = profiles.value_summaries(values, 5, 100, tracked)
+    got = profiles.entity_top_values(values, summaries, 5).collect()
+    want = profiles.entity_top_n(profiles.value_counts(values.withColumnRenamed("value", "f"), TableFields(values.withColumnRenamed("value", "f")), ["f"]), 5)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) == 10
+    if tracked > 1000:
+        assert all(s.bound < 60_000 / 40 for s in summaries.values())
+
+
+def test_summaries_bound_what_they_do_not_name(spark):
+    values = spark.range(30_000).selectExpr("'baseline' AS window", "'f' AS field", "concat('v', CAST(sqrt(id) AS INT)) AS value", "timestamp_seconds(id) AS ts")
+    for tracked in (16, 64, 512):
+        (summary,) = profiles.value_summaries(values, 2, 100, tracked).values()
+        counts = {r["value"]: r["count"] for r in values.groupBy("value").count().collect()}
+        assert summary.total == 30_000 and all(n <= summary.bound for v, n in counts.items() if v not in summary.top)
+
+
+def test_fields_beyond_the_category_limit_are_not_counted(spark):
+    values = spark.range(5_000).selectExpr(
+        "'baseline' AS window", "inline(array(named_struct('field', 'few', 'value', CAST(id % 9 AS STRING)), named_struct('field', 'many', 'value', CAST(id AS STRING))))",
+    ).withColumn("ts", F.current_timestamp())
+    summaries = profiles.value_summaries(values, 3, 100)
+    counts = profiles.counts_of_narrow(values, summaries, 100)
+    assert {r["field"] for r in counts.collect()} == {"few"} and counts.count() == 9
+    assert {f for (_, f), s in summaries.items() if s.distinct > 100} == {"many"}

@@ -417,7 +417,8 @@ def compare_windows(
     The source is read twice. One pass lands the configured fields of both
     windows as typed columns, when the plan is built; row counts, distributions,
     statistics, null ratios, entities and the gate derive from these, as does the
-    depth to which documents are opened. The other pass profiles the leaves.
+    depth to which documents are opened. Of fields with many values only
+    candidates for the top are exchanged. The other pass profiles the leaves.
     """
     config = drift_config(config)
     windowing, limits, targets = config["windowing"], config["thresholds"], config["targets"]
@@ -446,10 +447,13 @@ def compare_windows(
             leaves(tagged), profiles.row_counts(narrow), profiling["max_cardinality_track"], ts
         )
         parts.append(schema_comparisons(profile, limits["schema"], sch))
-    counts = chosen.value_counts(narrow) if categorical else None
+    values, most = None, profiling["categorical_max_categories"]
+    if categorical:
+        values = chosen.text_values(narrow)
+        summaries = profiles.value_summaries(values, vol["top_n_entities"], most)
     if dist["enabled"]:
-        if counts is not None:
-            categories = profiles.categorical_profile(counts, profiling["categorical_max_categories"])
+        if values is not None:
+            categories = profiles.categorical_profile(profiles.counts_of_narrow(values, summaries, most, ts), most)
             parts.append(psi_comparisons(categories, limits["distribution"]["psi"]))
         if numeric:
             parts.append(mean_shift_comparisons(profiles.numeric_profile(chosen.numeric_values(narrow))))
@@ -458,8 +462,8 @@ def compare_windows(
     if vol["enabled"]:
         if vol["check_global_volume"]:
             parts.append(global_rate_comparison(window_counts(narrow), baseline, current, limits["volume"]))
-        if vol["check_per_entity_volume"] and counts is not None:
-            entities = profiles.entity_top_n(counts, vol["top_n_entities"])
+        if vol["check_per_entity_volume"] and values is not None:
+            entities = profiles.entity_top_values(values, summaries, vol["top_n_entities"], ts)
             hours = (baseline.hours, current.hours) if normalize_entities else None
             parts.append(entity_comparisons(entities, limits["volume"]["percent_change"], hours))
     if not parts:

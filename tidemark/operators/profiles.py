@@ -8,13 +8,15 @@ capped cardinality is exact while only a bounded state is exchanged per field.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.once import evaluate_once
 from tidemark.functions.paths import Fields, TableField
 from tidemark.functions.sqltext import case, name, quote
 from tidemark.operators.ranks import CELLS, percentiles
+from tidemark.session import landed
 
 PERCENTILES = [50, 95, 99]
 
@@ -91,9 +93,9 @@ class Targets:
         records = ", ".join(f"named_struct('field', {quote(f)}, 'value', {c})" for f, c in columns.items())
         return narrow.selectExpr(*[name(k) for k in keep], f"inline(array({records}))")
 
-    def value_counts(self, narrow: DataFrame) -> DataFrame:
-        """As ``value_counts``."""
-        return _counted(self._long(narrow, self.texts, ["window", self.seen]), self.seen)
+    def text_values(self, narrow: DataFrame) -> DataFrame:
+        """``window, field, value`` and the arrival column, one row per categorical field."""
+        return self._long(narrow, self.texts, ["window", self.seen])
 
     def numeric_values(self, narrow: DataFrame) -> DataFrame:
         """As ``numeric_values``."""
@@ -147,6 +149,87 @@ def entity_top_n(counts: DataFrame, top_n: int = 50) -> DataFrame:
     return ranked.filter(F.col("rank") <= top_n).select("window", "field", "value", "n", "rank")
 
 
+class ValueSummary(NamedTuple):
+    """What one pass tells about the values of a field in a window; at most ``CANDIDATES * top_n`` values."""
+
+    total: int
+    distinct: float
+    top: list[str]
+    #: No value outside ``top`` occurs more often.
+    bound: float
+
+
+#: Values that a summary tracks, and candidates it names for each wanted one.
+TRACKED, CANDIDATES = 65_536, 4
+
+
+def value_summaries(values: DataFrame, top_n: int, max_categories: int | None, tracked: int | None = None) -> dict[tuple[str, str], ValueSummary]:
+    """One mergeable summary for each (window, field) of the configuration, gathered on the driver.
+
+    A frequent-items sketch keeps counters of ``tracked`` values and never
+    counts a value too low; values it has let go occur at most 3.5 / ``tracked``
+    of all rows. A theta sketch counts distinct values, exactly up to the category limit.
+    """
+    tracked = tracked or TRACKED
+    wanted = min(tracked, CANDIDATES * max(1, top_n))
+    size = max(12, math.ceil(math.log2(max(max_categories or 2, 2))) + 1)
+    rows = (
+        values.filter("value IS NOT NULL")
+        .groupBy("window", "field")
+        .agg(
+            F.count("*").alias("total"),
+            F.expr(f"theta_sketch_estimate(theta_sketch_agg(concat('=', value), {size}))").alias("distinct"),
+            F.expr(f"approx_top_k(value, {wanted}, {tracked})").alias("top"),
+        )
+        .collect()
+    )
+    out = {}
+    for r in rows:
+        # a table half full has let nothing go
+        lost = 0.0 if r["distinct"] < tracked / 2 else 3.5 * r["total"] / tracked
+        last = r["top"][-1]["count"] if len(r["top"]) == wanted else 0
+        out[r["window"], r["field"]] = ValueSummary(r["total"], r["distinct"], [t["item"] for t in r["top"]], max(lost, last))
+    return out
+
+
+def _of_groups(groups) -> Column:
+    """Whether a row's window and field are among these, which the configuration bounds."""
+    pairs = [F.struct(F.lit(w).alias("w"), F.lit(f).alias("f")) for w, f in groups]
+    return F.struct(F.col("window").alias("w"), F.col("field").alias("f")).isin(pairs) if pairs else F.lit(False)
+
+
+def counts_of_narrow(values: DataFrame, summaries: dict[tuple[str, str], ValueSummary], max_categories: int | None, seen: str = "ts") -> DataFrame:
+    """As ``value_counts``, of the non-null values of fields within the category limit only."""
+    groups = [g for g, s in summaries.items() if max_categories is None or s.distinct <= max_categories]
+    return _counted(values.filter("value IS NOT NULL").filter(_of_groups(groups)), seen)
+
+
+def entity_top_values(values: DataFrame, summaries: dict[tuple[str, str], ValueSummary], top_n: int = 50, seen: str = "ts") -> DataFrame:
+    """F8 in two passes: as ``entity_top_n``, but only candidates are exchanged and counted.
+
+    The summaries name candidates. If the last wanted candidate occurs more
+    often than any other value can, the exact counts of the candidates hold the
+    answer; the values of a field where the bound does not decide are all counted.
+    """
+    spark = values.sparkSession
+    named = [(w, f, v) for (w, f), s in summaries.items() for v in s.top]
+    if not named:
+        return entity_top_n(_counted(values, seen), top_n)
+    candidates = F.broadcast(spark.createDataFrame(named, "window string, field string, value string"))
+    counts = landed(_counted(values.join(candidates, ["window", "field", "value"], "left_semi"), seen))
+    ranked = entity_top_n(counts, top_n)
+    last = {(r["window"], r["field"]): (r["least"], r["found"]) for r in ranked.groupBy("window", "field").agg(F.min("n").alias("least"), F.count("*").alias("found")).collect()}
+    open_groups = []
+    for group, summary in summaries.items():
+        least, found = last.get(group, (0, 0))
+        if not (summary.bound == 0 or (found == top_n and least > summary.bound)):
+            open_groups.append(group)
+    if not open_groups:
+        return ranked
+    rest = entity_top_n(_counted(values.filter(_of_groups(open_groups)), seen), top_n)
+    return ranked.filter(~_of_groups(open_groups)).unionByName(rest)
+
+
 def _as_number(field) -> str:
     """``float(value)``; text is parsed, NaN counts as null."""
     if isinstance(field, TableField):
