@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import DocumentFields
+from tidemark.operators import rollups
+from tidemark.operators.results import duration_histogram, stats_between
 from tidemark.operators.validate import validate
 from tidemark.plans.event_rules import event_rules
 from tidemark.sources import events
@@ -252,7 +254,7 @@ def test_late_rows_leave_the_counters_only(spark, tmp_path):
         stream = spark.readStream.schema("rid long, raw string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(source))
         rules = {k: v for k, v in event_rules().items() if k != "duplicate_check"}
         checked = validate(decode(stream), rules, AS_OF, DocumentFields())
-        ingest.keep_latest(ingest.counters_stream(checked, "ts"), root, available_now=True).awaitTermination()
+        ingest.keep_latest(ingest.counters_stream(checked, "ts"), root, ["hour"], available_now=True).awaitTermination()
         ingest.validate_stream(stream, event_rules(), AS_OF, f"{root}-ingest", ["rid"], event_time="ts", delay=3600, available_now=True).awaitTermination()
 
     put(1, (1, "2024-01-02 10:00:00"), (2, "2024-01-02 12:00:00"))
@@ -290,3 +292,42 @@ def test_kafka_records_keep_their_place(spark):
     row = events.kafka_rows(records).first()
     assert (row["raw"], row["source"], row["part"], row["position"]) == ("{}", "t", 3, 7)
     assert events.with_positions(events.kafka_rows(records)).first()["position"] == 7
+
+
+def test_updates_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACTED", 4)
+    root = str(tmp_path)
+    for n in range(9):
+        batch = spark.createDataFrame([("a", n), (f"k{n % 3}", 10 * n)], "key string, value long")
+        for _ in range(2):  # a replay changes nothing
+            ingest.keep_batch(batch, n, root, ["key"])
+    assert {r["key"]: r["value"] for r in ingest.latest(spark, root, ["key"]).collect()} == {"a": 8, "k0": 60, "k1": 70, "k2": 80}
+    log = CommitLog(spark, root)
+    assert len(log.state().entries) <= 3 and log.read("updates").count() <= 8
+
+
+def test_rollups_of_batches_are_the_full_aggregate(spark, tmp_path, monkeypatch):
+    """Also after compaction, and with late rows."""
+    monkeypatch.setattr(ingest, "COMPACTED", 3)
+    tables = ingest.IngestTables(str(tmp_path / "out"))
+    times = ["2024-01-02 10:00:00", "2024-01-02 10:30:00", "2024-01-02 12:00:00", "2024-01-02 09:59:59", None]
+    for n in range(4):
+        raws = spark.createDataFrame([(10 * n + i, event(10 * n + i), t) for i, t in enumerate(times)], "rid long, raw string, t string")
+        batch = raws.withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+        ingest.ingest_batch(batch, n, event_rules(), AS_OF, tables, ["rid"], event_time="ts")
+    assert len([e for e in CommitLog(spark, tables.root).state().entries if e.table == "rollup"]) <= 2
+    found = {r["hour"] and r["hour"].hour: (r["total"], r["passed"]) for r in rollups.merged(tables.rollup.read(spark)).collect()}
+    assert found == {9: (4, 4), 10: (8, 8), 12: (4, 4), None: (4, 4)}
+
+
+def test_rollup_durations(spark):
+    rows = spark.range(500).selectExpr("'PASS' AS status", "timestamp_seconds(id * 100) AS validation_ts", "if(id % 50 = 0, NULL, if(id % 7 = 0, 0D, CAST(id * 3 AS DOUBLE))) AS ms")
+    parts = rollups.hourly_rollup(rows.filter("ms < 600 OR ms IS NULL"), milliseconds="ms").unionByName(rollups.hourly_rollup(rows.filter("ms >= 600"), milliseconds="ms"))
+    got, want = rollups.durations(parts).collect(), duration_histogram(rows, "ms").collect()
+    assert [(r["le"], r["cumulative_count"], round(r["duration_sum"], 6), r["duration_count"]) for r in got] == [
+        (r["le"], r["cumulative_count"], round(r["duration_sum"], 6), r["duration_count"]) for r in want
+    ]
+    for start, end in (("1970-01-01 00:10:00", "1970-01-01 07:30:00"), ("1970-01-01 02:00:00", "1970-01-01 02:30:00"), ("1970-01-01 01:00:00", "1970-01-01 05:00:00")):
+        got = rollups.stats_between(parts, rows, start, end, milliseconds="ms").first().asDict()
+        want = stats_between(rows, start, end, "ms").first().asDict()
+        assert {k: round(v, 9) if isinstance(v, float) else v for k, v in got.items()} == {k: round(v, 9) if isinstance(v, float) else v for k, v in want.items()}

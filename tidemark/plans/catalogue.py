@@ -20,7 +20,7 @@ from tidemark.functions.paths import (
     present_fields,
 )
 from tidemark.functions.severity import severity_sql
-from tidemark.operators import adhoc, batch_drift, drift, drift_reports, duplicates, profiles, results, validate as v, windows
+from tidemark.operators import adhoc, batch_drift, drift, drift_reports, duplicates, profiles, results, rollups, validate as v, windows
 from tidemark.plans.event_rules import event_rules, only, without
 from tidemark.plans.faults import AS_OF, EVENT_DOCS_SQL, dealt, dirty_events, event_docs, event_text, table
 from tidemark.session import configure, work_folder
@@ -573,6 +573,25 @@ def hourly_fail_rate(spark, sf):
     return _rounded(results.hourly_fail_rate(stored(spark, sf)), "fail_rate")
 
 
+def rollup_parts(spark, sf) -> DataFrame:
+    """Rollups of three parts of the stored results, hours in common."""
+    rows = stored(spark, sf)
+    parts = [rollups.hourly_rollup(rows.filter(f"pmod(rid, 3) = {n}")) for n in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def rollup_fail_rate(spark, sf):
+    return _rounded(rollups.fail_rate_per_hour(rollup_parts(spark, sf)), "fail_rate")
+
+
+@query
+def rollup_stats_between(spark, sf):
+    """Whole hours from rollups, the ends of the range from the results."""
+    stats = rollups.stats_between(rollup_parts(spark, sf), stored(spark, sf), "2024-01-10 00:00:00", "2024-01-20 12:00:00")
+    return _rounded(stats, "pass_rate", "warn_rate", "fail_rate", "avg_processing_time_ms")
+
+
 @query
 def top_failing_checks(spark, sf):
     return results.top_failing_checks(validated(spark, sf))
@@ -1077,7 +1096,7 @@ def stream_counters(spark, sf):
     parsed = ev.decode(event_stream(spark, sf))
     checked_events = v.validate(parsed, without(event_rules(), "duplicate_check"), AS_OF, DocumentFields())
     counted = ingest.counters_stream(checked_events, "ts")
-    ingest.keep_latest(counted, root, available_now=True).awaitTermination()
+    ingest.keep_latest(counted, root, ["hour"], available_now=True).awaitTermination()
     return _rounded(ingest.latest(spark, root, ["hour"]), "fail_rate")
 
 

@@ -1042,3 +1042,6 @@ ORACLES["stream_replay"] = docs(
     FAILED,
     VALIDATED,
 )
+# rollups of parts, merged, are the full aggregate
+ORACLES["rollup_fail_rate"] = ORACLES["hourly_fail_rate"]
+ORACLES["rollup_stats_between"] = ORACLES["stats_between"]

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.paths import DocumentFields
 from tidemark.operators.duplicates import first_per_key, mark_duplicates, mark_duplicates_within, spread_nulls
+from tidemark.operators.rollups import hourly_rollup, merged
 from tidemark.operators.validate import duplicates_enabled, timestamp_sql, validate, with_event_key
 from tidemark.sources.events import ARRIVAL, archive_rows, dead_letters, decode, decoded, with_positions
 from tidemark.sources.flat_events import flat_rejects, flat_rows, flatten_events
@@ -31,19 +32,6 @@ OF_RULES = "of rules"
 DELAY = 86_400
 
 
-@dataclass(frozen=True)
-class BatchTable:
-    """A parquet table with one folder per micro-batch."""
-
-    root: str
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.root).parquet(self.root)
-
-
 @dataclass(frozen=True)
 class CommittedTable:
     """A table of a commit log."""
@@ -62,7 +50,7 @@ class IngestTables:
     root: str
 
     def __getattr__(self, table: str) -> CommittedTable:
-        if table not in ("results", "processed", "flat", "flat_rejects", "quarantine", "dead_letters", "late"):
+        if table not in ("results", "processed", "flat", "flat_rejects", "quarantine", "dead_letters", "late", "rollup"):
             raise AttributeError(table)
         return CommittedTable(self.root, table)
 
@@ -189,7 +177,7 @@ def ingest_batch(
         horizon = None
         if lookback and "newest" in facts:
             horizon = _moment(facts["newest"]) - timedelta(seconds=lookback[1] + delay)
-        _write_outputs(parsed, attempt, rules, as_of, order_by, lookback, delay, horizon)
+        _write_outputs(parsed, attempt, rules, as_of, order_by, lookback, delay, horizon, ts)
         if lookback:
             gone = {e.path for e in attempt.removed}
             expired = key_slices(attempt.log, lookback[1], delay).expired(attempt.state, horizon)
@@ -222,8 +210,9 @@ def _write_outputs(
     lookback: tuple[str, int] | None,
     delay: int,
     horizon: datetime | None,
+    time: str | None,
 ) -> None:
-    """Every output of a decoded micro-batch."""
+    """Every output of a decoded micro-batch; ``time`` is the event time, if there is one."""
     attempt.write("dead_letters", dead_letters(parsed))
     events = decoded(parsed)
     fields = DocumentFields("doc")
@@ -236,6 +225,7 @@ def _write_outputs(
         checked = validate(events, rules, as_of, fields)
     checked = attempt.hold(checked)
     attempt.write("results", result_rows(checked))
+    _write_rollup(checked, attempt, time)
     attempt.write("quarantine", checked.filter("status = 'FAIL'").drop("doc", "metadata"))
     passed = checked.filter("status <> 'FAIL'").withColumnRenamed("event_id", "result_id")
     flattened = flatten_events(passed, keep=[*order_by, "status", "result_id", "doc"])
@@ -250,6 +240,16 @@ def _write_outputs(
     attempt.store(KeyStore(attempt.log, "ids"), ids)
 
 
+def _write_rollup(checked: DataFrame, attempt: Attempt, time: str | None) -> None:
+    """The batch's results per hour, by event time or else by validation time, beside those of earlier batches."""
+    rows = hourly_rollup(checked, time or "validation_ts", None)
+    before = [e for e in attempt.state.entries if e.table == "rollup"]
+    if len(before) + 1 >= COMPACTED:
+        rows = merged(attempt.log.read("rollup", attempt.state).unionByName(rows))
+        attempt.removed += before
+    attempt.write("rollup", rows)
+
+
 def _fresh(rows: DataFrame, attempt: Attempt, order_by: list[str]) -> DataFrame:
     """A7 in a micro-batch: first of each event id that no earlier batch stored."""
     rows = attempt.hold(first_per_key(rows, "event_id", order_by))
@@ -316,18 +316,47 @@ def counters_stream(validated: DataFrame, ts: str, delay: str = "1 hour", width:
     )
 
 
-def keep_latest(stream: DataFrame, root: str, *, available_now: bool = False) -> StreamingQuery:
-    """Write an updating aggregate; ``latest`` reads the newest row per key."""
-    table = BatchTable(f"{root}/updates")
-    return _start(stream, lambda batch, batch_id: table.write(batch, batch_id), root, available_now, "update")
+#: Folders of one table that are merged into one when there are so many.
+COMPACTED = 16
+
+
+def keep_latest(stream: DataFrame, root: str, keys: list[str], *, available_now: bool = False) -> StreamingQuery:
+    """Write an updating aggregate; ``latest`` reads the newest row per key.
+
+    Every ``COMPACTED`` batches their newest rows are written as one folder, so
+    readers open few folders, and superseded rows go.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        keep_batch(batch, batch_id, root, keys, query=query)
+
+    return _start(stream, run, root, available_now, "update")
+
+
+def keep_batch(batch: DataFrame, batch_id: int, root: str, keys: list[str], *, query: str = "direct") -> None:
+    """One batch of ``keep_latest``; committed batches are not written again."""
+    attempt = Attempt.begun(CommitLog(batch.sparkSession, root))
+    if attempt.state.batches.get(query, -1) >= batch_id:
+        return
+    rows = batch.withColumn("version", F.lit(attempt.state.number + 1).cast("long"))
+    before = [e for e in attempt.state.entries if e.table == "updates"]
+    if len(before) + 1 >= COMPACTED:
+        rows = _newest(attempt.log.read("updates", attempt.state).unionByName(rows), keys)
+        attempt.removed += before
+    attempt.write("updates", rows)
+    attempt.log.commit(attempt.state, query, batch_id, attempt.added, attempt.removed)
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v"))
+    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def latest(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     """The newest version of each updated row."""
-    rows = BatchTable(f"{root}/updates").read(spark)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    return _newest(CommitLog(spark, root).read("updates"), keys).drop("version")
 
 
 def archive_stream(
