@@ -18,6 +18,8 @@ from tidemark.functions.sqltext import name, quote
 from tidemark.operators.checks import CustomCheck, row_checks
 from tidemark.operators.duplicates import mark_duplicates
 
+#: Names the validator in the metadata of results.
+ENGINE = "tidemark"
 ENGINE_ERROR = "validation_engine.error"
 
 
@@ -121,7 +123,8 @@ def validate(
         "failures.error_message AS error_messages",
         graded.format("'CRITICAL'", "'WARNING'") + " AS severity",
         f"{now} AS validation_ts",
-        f"map('rules_version', {quote(rules.get('version', 'unknown'))}, 'event_type', event_type) AS metadata",
+        f"map('rules_version', {quote(rules.get('version', 'unknown'))}, 'event_type', event_type, "
+        f"'validation_engine', {quote(ENGINE)}) AS metadata",
     )
 
 

@@ -386,7 +386,7 @@ def event_summary(spark, sf):
 @query
 def result_metadata(spark, sf):
     return validated(spark, sf).selectExpr(
-        "rid", "metadata['rules_version'] AS rules_version", "metadata['event_type'] AS event_type"
+        "rid", "metadata['rules_version'] AS rules_version", "metadata['event_type'] AS event_type", "metadata['validation_engine'] AS validation_engine"
     )
 
 

@@ -118,15 +118,19 @@ def event_rules() -> dict:
                     for kind, required in PAYLOAD_FIELDS.items()
                 ],
             },
-            *[
-                {
-                    "name": f"{part}_fields_consistent",
-                    "severity": "FAIL",
-                    "check_type": "all_or_none",
-                    "fields": [f"{part}.{leaf}" for leaf in leaves],
-                }
-                for part, leaves in {"actor": ["id", "login", "url"], "repo": ["id", "name", "url"]}.items()
-            ],
+            # Names and fields of the two groups.
+            {
+                "name": "actor_fields_consistent",
+                "severity": "FAIL",
+                "check_type": "all_or_none",
+                "fields": ["actor.id", "actor.login", "actor.url"],
+            },
+            {
+                "name": "repo_fields_consistent",
+                "severity": "FAIL",
+                "check_type": "all_or_none",
+                "fields": ["repo.id", "repo.name", "repo.url"],
+            },
         ],
         "duplicate_check": {
             "enabled": True,

@@ -235,13 +235,17 @@ def conditional_rules() -> list[Rule]:
 
 
 def group_rules() -> list[Rule]:
+    # Names and fields of the two groups.
+    groups = {
+        "actor_fields_consistent": ["actor.id", "actor.login", "actor.url"],
+        "repo_fields_consistent": ["repo.id", "repo.name", "repo.url"],
+    }
     out = []
-    for part, leaves in {"actor": ["id", "login", "url"], "repo": ["id", "name", "url"]}.items():
-        paths = [f"{part}.{leaf}" for leaf in leaves]
+    for group, paths in groups.items():
         some, every = " OR ".join(map(exists, paths)), " AND ".join(map(exists, paths))
         out.append(
             Rule(
-                f"consistency.all_or_none.{part}_fields_consistent", ",".join(paths), "consistency", "FAIL",
+                f"consistency.all_or_none.{group}", ",".join(paths), "consistency", "FAIL",
                 f"({some}) AND NOT ({every})", q("Field group incomplete"),
                 q(f"all fields {paths} present or all absent"),
                 f"'present: ' || {name_list(paths, True)} || ', missing: ' || {name_list(paths, False)}",
@@ -513,7 +517,7 @@ SELECT rid, field_path, CASE max(CASE severity WHEN 'FAIL' THEN 3 WHEN 'WARN' TH
 ORACLES["event_summary"] = valid("""
 SELECT rid, CAST(n + 1 AS INTEGER) AS total_checks, CAST(criticals AS INTEGER) AS critical_failures,
  CAST(warnings AS INTEGER) AS warning_failures, CASE WHEN status = 'PASS' THEN 1 ELSE 0 END AS passed FROM validated""")
-ORACLES["result_metadata"] = docs(f"SELECT rid, '1.0' AS rules_version, {text('type')} AS event_type FROM event_docs")
+ORACLES["result_metadata"] = docs(f"SELECT rid, '1.0' AS rules_version, {text('type')} AS event_type, 'tidemark' AS validation_engine FROM event_docs")
 ORACLES["validate_table"] = dirty("""
 SELECT CAST(event_id AS VARCHAR) AS event_id,
  CASE WHEN user_id IS NULL OR event_type NOT IN ('click', 'view', 'purchase', 'signup', 'error') THEN 'FAIL'
