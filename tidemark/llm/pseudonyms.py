@@ -6,8 +6,11 @@ numbers (digit counts and ranges), e-mail addresses and quoted secrets. A valid
 value becomes another one of its format: every digit stays a digit, every ASCII
 letter a letter of its case, separators stay, checks hold again, and a date
 becomes a real date of its century. Under one key the mapping is a permutation of
-all values of a kind and length, so equal values stay equal across documents,
-however they are punctuated, and different ones stay different.
+all values of a kind and length, so equal values stay equal across documents and
+different ones stay different. Two kinds are exceptions. Dates with slashes are read
+in two ways, by month or by day first, and what comes out may read the other way, so
+two of them can become equal. A telephone number with a country code is split where
+it is punctuated, so the same number written without blanks gets another pseudonym.
 
 Everything is a Catalyst expression; no Python runs on rows.
 
