@@ -201,7 +201,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=READ_NAMES)
 
-    return index.select("bundle").distinct().mapInArrow(work, READ)
+    bundles = index.select("bundle").distinct()
+    # a few small rows, but much to read behind each: one task a bundle
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(work, READ)
 
 
 READ_NAMES = [c.split()[0] for c in READ.split(", ")]
