@@ -128,8 +128,8 @@ def test_many_batches_against_brute_force(spark, tmp_path, seconds):
         if key is not None:
             last[key] = now
     got = {}
-    for n in range(0, 1200, 200):
-        got |= reported(spark, str(tmp_path), keyed(spark, *rows[n : n + 200]), "ts" if seconds else None, seconds)
+    for n in range(0, 1200, 400):
+        got |= reported(spark, str(tmp_path), keyed(spark, *rows[n : n + 400]), "ts" if seconds else None, seconds)
     assert got == want
 
 

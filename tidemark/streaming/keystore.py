@@ -95,7 +95,7 @@ class KeyStore:
         return found.groupBy("key").agg(F.max("seen").alias("seen"))
 
     def write(self, state: State, fresh: DataFrame, horizon: datetime | None = None) -> tuple[list[Entry], list[Entry]]:
-        """Store ``key, seen``; the entries to commit and those that they replace.
+        """Store ``key, seen``, one row for each key; the entries to commit and those that they replace.
 
         Of one key and slice the latest time is kept; slices that end at or before ``horizon`` are not stored.
         """
@@ -113,26 +113,31 @@ class KeyStore:
             for number in counts:
                 merged += (more := self._merged(state, number, counts[number]))
                 counts[number] += sum(e.facts["rows"] for e in more)
-            keys = staged
-            if merged:
-                keys = keys.union(self._read(merged).select("key", "seen", self._slice()))
             sizes = [(n, max(1, -(-c * BITS_PER_KEY // PART_BITS)), min(BUCKETS, max(1, c // KEYS_PER_BUCKET))) for n, c in counts.items()]
             sized = F.broadcast(spark.createDataFrame(sizes, "slice long, parts long, of long"))  # a row for each slice of the batch
-            latest = keys.groupBy("key", "slice").agg(F.max("seen").alias("seen")).join(sized, "slice")
-            rows = latest.select("key", "seen", "slice", _bucket())
+            latest = staged
+            if merged:
+                keys = staged.union(self._read(merged).select("key", "seen", self._slice()))
+                latest = keys.groupBy("key", "slice").agg(F.max("seen").alias("seen"))
+            rows = latest.join(sized, "slice").select("key", "seen", "slice", _bucket())
             rows.repartition("slice", "bucket").write.partitionBy("slice", "bucket").parquet(f"{path}/keys")
+            stored = latest
+            if merged:
+                stored = spark.read.parquet(f"{path}/keys").withColumn("slice", F.col("slice").cast("long"))
+            bits = stored.join(sized, "slice").select(
+                "slice", _part(F.col("parts")).alias("part"), F.explode(F.array(*(_bit(n) for n in range(PROBES)))).alias("bit")
+            )
+            filters = bits.groupBy("slice", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+            entry = F.concat(F.lit(f"{path}/keys/slice="), F.col("slice"))
+            filters.withColumn("entry", entry).write.partitionBy("slice").parquet(f"{path}/bloom")
         finally:
             staged.unpersist()
-        stored = spark.read.parquet(f"{path}/keys").withColumn("slice", F.col("slice").cast("long"))
-        bits = stored.join(sized, "slice").select(
-            "slice", _part(F.col("parts")).alias("part"), F.explode(F.array(*(_bit(n) for n in range(PROBES)))).alias("bit")
-        )
-        filters = bits.groupBy("slice", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        entry = F.concat(F.lit(f"{path}/keys/slice="), F.col("slice"))
-        filters.withColumn("entry", entry).repartition("slice").write.partitionBy("slice").parquet(f"{path}/bloom")
-        buckets: dict[int, list[int]] = {}
-        for row in sorted(stored.select("slice", "bucket").distinct().collect()):
-            buckets.setdefault(row["slice"], []).append(row["bucket"])
+        buckets: dict[int, list[int]] = {n: [0] for n, _, of in sizes if of == 1}
+        if len(buckets) < len(sizes):
+            written = spark.read.parquet(f"{path}/keys").select(F.col("slice").cast("long").alias("slice"), "bucket").distinct()
+            for row in sorted(written.collect()):
+                if row["slice"] not in buckets or buckets[row["slice"]][-1] < row["bucket"]:
+                    buckets.setdefault(row["slice"], []).append(row["bucket"])
         entries = [
             Entry(
                 self.table, f"{path}/keys/slice={n}",
