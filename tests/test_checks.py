@@ -228,3 +228,26 @@ def test_table_mode_nan_and_types(spark):
         ["schema.required_field.gone", "value_check.range.flag", "timestamp.parse.t"],
         ["schema.required_field.gone", "value_check.range.x", "timestamp.not_future.t"],
     ]
+
+
+def test_duplicates_of_landed_rows(spark):
+    """Landed or not, the results are the same; rows that tie for the first of a key leave one of them."""
+    from tidemark.plans.event_rules import event_rules
+    from tidemark.sources.events import decode, decoded
+
+    texts = ['{"id": "a"}', '{"id": 1}', '{"id": 1.0}', '{"id": [1]}', '{"id": null}', "{}", '{"id": "1"}'] * 3
+    raw = spark.createDataFrame([(n, n // 7, t) for n, t in enumerate(texts)], "rid long, at long, raw string").repartition(4)
+    events = decoded(decode(raw))
+    options = {"rules": event_rules(), "as_of": AS_OF}
+
+    def rows(df):
+        return sorted((r.rid, r.status, r.event_id, [tuple(f) for f in r.failures], tuple(sorted(r.metadata.items()))) for r in df.collect())
+
+    whole = validate(events, fields=DocumentFields(), order_by=["rid"], **options)
+    once = validate(events, fields=DocumentFields(), order_by=["rid"], keep=["rid"], **options)
+    assert rows(whole) == rows(once) and "doc" in whole.columns and "doc" not in once.columns
+    tied = validate(events.filter("at = 0"), fields=DocumentFields(), order_by=["at"], keep=["rid"], **options)
+    again = tied.filter("array_contains(failed_checks, 'duplicate.id')").collect()
+    assert len(again) == 1 and again[0].rid in (1, 2)
+    none = validate(events.filter("rid < 0"), fields=DocumentFields(), order_by=["rid"], keep=["rid"], **options)
+    assert none.collect() == []

@@ -28,6 +28,24 @@ def test_status_filter_does_not_repeat_the_parse(spark):
     assert plan(checked.filter("status = 'FAIL'").select("rid")).count("parseJson") == 1
 
 
+def test_duplicates_are_found_in_one_decode(spark, monkeypatch):
+    """One pass decodes and lands the checked rows; keys and results come from the narrow table."""
+    from tidemark.operators import validate
+
+    passes = []
+    plain = validate.landed_table
+
+    def watched(df):
+        passes.append(plan(df))
+        return plain(df)
+
+    monkeypatch.setattr(validate, "landed_table", watched)
+    last = plan(catalogue.QUERIES["validate_status"](spark, SF_DIR))
+    assert [p.count("parseJson") for p in passes] == [1] and "parseJson" not in last
+    keys = [line for line in last.splitlines() if "ReadSchema" in line or "FileScan" in line]
+    assert any("__key" in line and "failures" not in line.split("ReadSchema")[-1] for line in keys)
+
+
 def test_time_windows_reach_the_scan(spark):
     baseline, current = windows.drift_windows(AS_OF)
     text = plan(windows.tag_windows(table(spark, SF_DIR, "events"), "ts", baseline, current).select("event_id", "window"))

@@ -17,6 +17,7 @@ from tidemark.functions.severity import FAIL, WARN, Sql, combine, fail_when, nor
 from tidemark.functions.sqltext import name, quote
 from tidemark.operators.checks import CustomCheck, row_checks
 from tidemark.operators.duplicates import mark_duplicates
+from tidemark.session import landed_table
 
 #: Names the validator in the metadata of results.
 ENGINE = "tidemark"
@@ -32,33 +33,35 @@ def timestamp_sql(moment: datetime | str) -> str:
     return f"TIMESTAMP {quote(moment)}"
 
 
-def _duplicate_checks(config: dict, fields: Fields, is_duplicate: str) -> list[str]:
-    """C15 failure of a repeated key; C17 failure of a key that cannot be compared."""
+def _duplicate_check(config: dict, is_duplicate: str, text: str) -> str:
+    """C15 failure of a repeated key whose value reads ``text``."""
     path = config.get("key_field", "id")
-    field = fields.field(path)
+    return fail_when(
+        is_duplicate,
+        f"duplicate.{path}",
+        path,
+        "duplicate",
+        normalise_severity(config.get("severity", FAIL)),
+        config.get("error_message", "Duplicate event detected"),
+        "unique value",
+        Sql(f"concat('duplicate: ', {text})"),
+    )
+
+
+def _unusable_key_check(config: dict, fields: Fields) -> str:
+    """C17 failure of a key that cannot be compared; such a row has no key and is no duplicate."""
+    field = fields.field(config.get("key_field", "id"))
     reason = f"concat('unhashable type: \\'', {field.kind}, '\\'')"
-    return [
-        fail_when(
-            is_duplicate,
-            f"duplicate.{path}",
-            path,
-            "duplicate",
-            normalise_severity(config.get("severity", FAIL)),
-            config.get("error_message", "Duplicate event detected"),
-            "unique value",
-            Sql(f"concat('duplicate: ', {field.text})"),
-        ),
-        fail_when(
-            field.is_kind(LIST, DICT),
-            ENGINE_ERROR,
-            "<engine>",
-            "system",
-            FAIL,
-            Sql(f"concat('Validation engine error: ', {reason})"),
-            None,
-            Sql(reason),
-        ),
-    ]
+    return fail_when(
+        field.is_kind(LIST, DICT),
+        ENGINE_ERROR,
+        "<engine>",
+        "system",
+        FAIL,
+        Sql(f"concat('Validation engine error: ', {reason})"),
+        None,
+        Sql(reason),
+    )
 
 
 def duplicates_enabled(rules: dict) -> bool:
@@ -73,6 +76,21 @@ def with_event_key(df: DataFrame, rules: dict, fields: Fields, column: str = "ev
     return keys.attach(df).selectExpr(*[name(c) for c in df.columns], f"{key} AS {column}")
 
 
+def _with_duplicates(checked: DataFrame, config: dict, columns: list[str], order_by: list[str]) -> DataFrame:
+    """The checked rows, written once, with the C15 failure of those whose key came before."""
+    kept = [name(c) for c in columns if c not in ("event_id", "failures")]
+    order = [f"{name(c)} AS __by{n}" for n, c in enumerate(order_by)]
+    rows = landed_table(
+        checked.selectExpr(
+            *kept, "failures", "event_id", "event_type", "__key", "if(__key IS NULL, NULL, __key_text) AS __key_text",
+            *order, "monotonically_increasing_id() AS __place",
+        )
+    )
+    marked = mark_duplicates(rows, F.col("__key"), [f"__by{n}" for n in range(len(order))] + ["__place"], "__is_duplicate")
+    failure = _duplicate_check(config, "__is_duplicate", "__key_text")
+    return evaluate_once(marked.selectExpr(*kept, "event_id", "event_type", f"concat(failures, {failure}) AS failures"), failures="failures")
+
+
 def validate(
     df: DataFrame,
     rules: dict,
@@ -84,6 +102,7 @@ def validate(
     duplicate_flag: str | None = None,
     event_id: str | None = None,
     custom: dict[str, CustomCheck] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The input rows with their validation result.
 
@@ -92,18 +111,34 @@ def validate(
     enables duplicate detection, give ``order_by`` (unique arrival order) to
     have duplicates found here, or ``duplicate_flag``, a boolean column that
     already tells them (streams).
+
+    ``keep`` names the input columns that the result carries (default: all). With
+    it duplicates are found in one decode: the checked rows, without documents, are
+    written to the shared folder when the plan is built, and keys meet on that table.
+    Rows that tie in ``order_by`` then rank by their place in it, so that one of them
+    is the first. Without ``keep`` nothing is written, each document is decoded once
+    for its key and once for its checks, and no row of a tie for the first is a duplicate.
     """
     now = timestamp_sql(as_of)
-    columns = [c for c in df.columns if c != duplicate_flag]
+    columns = [c for c in (df.columns if keep is None else keep) if c != duplicate_flag]
     checks = row_checks(rules, fields, now, custom)
+    finds = duplicates_enabled(rules) and duplicate_flag is None
+    if finds and not order_by:
+        raise ValueError("duplicate detection needs order_by or duplicate_flag")
+    lands = finds and keep is not None
+    found = {}
     if duplicates_enabled(rules):
-        if duplicate_flag is None:
-            if not order_by:
-                raise ValueError("duplicate detection needs order_by or duplicate_flag")
+        config = rules["duplicate_check"]
+        key = fields.field(config.get("key_field", "id"))
+        if lands:
+            found = {"__key": key.key, "__key_text": key.text}
+        elif finds:
             keyed = with_event_key(df, rules, fields, "__event_key")
             df = mark_duplicates(keyed, F.col("__event_key"), order_by, "__is_duplicate").drop("__event_key")
             duplicate_flag = "__is_duplicate"
-        checks += _duplicate_checks(rules["duplicate_check"], fields, name(duplicate_flag))
+        if not lands:
+            checks.append(_duplicate_check(config, name(duplicate_flag), key.text))
+        checks.append(_unusable_key_check(config, fields))
     id_text = f"CAST({name(event_id)} AS STRING)" if event_id else fields.field("id").id_text
     event_type = fields.field("type").text
     checked = evaluate_once(
@@ -111,7 +146,10 @@ def validate(
         failures=combine(checks),
         event_id=id_text,
         event_type=event_type,
+        **found,
     )
+    if lands:
+        checked = _with_duplicates(checked, config, columns, order_by)
     graded = "CASE WHEN array_contains(failures.severity, 'FAIL') THEN {} WHEN array_contains(failures.severity, 'WARN') THEN {} ELSE 'PASS' END"
     return checked.selectExpr(
         *[name(c) for c in columns if c not in ("event_id", "failures")],

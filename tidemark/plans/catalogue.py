@@ -329,9 +329,9 @@ def custom_check(spark, sf):
 # ---- D: validation --------------------------------------------------------
 
 
-def validated(spark, sf) -> DataFrame:
-    """The full rule set over the event documents."""
-    return v.validate(event_docs(spark, sf), event_rules(), AS_OF, DocumentFields(), order_by=["rid"])
+def validated(spark, sf, keep=("rid", "ts")) -> DataFrame:
+    """The full rule set over the event documents; ``keep=None`` keeps the documents."""
+    return v.validate(event_docs(spark, sf), event_rules(), AS_OF, DocumentFields(), order_by=["rid"], keep=keep and list(keep))
 
 
 def stored(spark, sf) -> DataFrame:
@@ -415,7 +415,7 @@ def validate_table(spark, sf):
 
 @query
 def gate_processed(spark, sf):
-    return sinks.processed_rows(validated(spark, sf), processed_at="ts").selectExpr(
+    return sinks.processed_rows(validated(spark, sf, None), processed_at="ts").selectExpr(
         "event_id", "try_variant_get(event_data, '$.repo.name', 'string') AS repo_name", "processed_at", "validation_status"
     )
 

@@ -39,6 +39,13 @@ def landed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def landed_table(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written as Parquet, so that later passes read only their columns."""
+    folder = work_folder(df.sparkSession, "landed")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
