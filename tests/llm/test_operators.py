@@ -154,6 +154,18 @@ def test_byte_bpe(awkward, empty, documents):
     assert byte_bpe.round_trip(empty, RANKS).count() == 0
 
 
+@pytest.mark.parametrize("long", [65, byte_bpe.LONG])
+def test_long_words(monkeypatch, long):
+    """Runs of one letter, pairs that overlap and random letters, by single steps and by all places of a rank."""
+    monkeypatch.setattr(byte_bpe, "LONG", long)
+    tik, coder, rng = encoder(), byte_bpe.Coder(RANKS), random.Random(5)
+    alphabets = ["a", "ab", "aab", "=-", "etaoin", "日本語中", "éèàe", "abcdefghijklmnopqrstuvwxyz"]
+    words = ["".join(rng.choices(alphabets[i % 8], k=rng.randint(65, 260))) for i in range(160)]
+    words += ["".join(rng.choices(a, k=2_500)) for a in alphabets] + ["日本" * 20_000, "=" * 100_000]
+    for word, coded in zip(words, coder.encode(words)):
+        assert np.frombuffer(coded, "<u4").tolist() == tik.encode_ordinary(word)
+
+
 def test_decoding_in_stretches(monkeypatch):
     monkeypatch.setattr(byte_bpe, "DECODED", 7)
     coder = byte_bpe.Coder(RANKS)

@@ -32,8 +32,9 @@ from tidemark.llm.pieces import split
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens remembered by a task, bytes laid out, tokens decoded and characters taken at once.
 REMEMBERED, LAID_OUT, DECODED, TAKEN = 300_000, 400_000, 500_000, 5_000_000
-#: Words up to so many bytes are contracted together, step by step.
-SHORT = 64
+#: Words up to so many bytes are contracted together, step by step; from ``LONG`` bytes on, a step takes
+#: all places of a rank. The ids are the same either way, only the work differs.
+SHORT, LONG = 64, 2_000
 
 #: ``state`` holds one row per byte; a contracted byte has token null. Each step emits the two
 #: rows that change in every word that still has a pair.
@@ -55,6 +56,43 @@ WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
 SELECT word, pos, tok FROM state WHERE tok IS NOT NULL ORDER BY word, pos
 """
 
+#: The same for long words: each step contracts all places of a word's lowest rank, from left to right
+#: and without overlap (every second pair of a run), as single steps would: up to and with the first
+#: place whose new token makes a pair of a still lower rank with a neighbour, which must then go first.
+#: So a long word needs a step per rank that it holds, not one per merge.
+CONTRACT_LONG = """
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM laid_out
+  UNION
+    SELECT word, unnest([pos, npos]), unnest([rank, NULL])
+    FROM (
+        SELECT t.word, t.pos, t.npos, t.rank,
+            count(coalesce(l.rank, r.rank)) OVER (PARTITION BY t.word ORDER BY t.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS urgent
+        FROM (
+            SELECT word, pos, npos, rank, nntok, CASE WHEN k - 2 = lag(k) OVER (PARTITION BY word ORDER BY k) THEN rank ELSE ptok END AS ptok
+            FROM (
+                SELECT *, k - first_value(k) OVER (PARTITION BY word, run ORDER BY k) AS place
+                FROM (
+                    SELECT p.*, k - row_number() OVER (PARTITION BY word ORDER BY k) AS run
+                    FROM (
+                        SELECT n.*, m.rank, min(m.rank) OVER (PARTITION BY n.word) AS lowest
+                        FROM (
+                            SELECT word, pos, tok, lag(tok) OVER w AS ptok, lead(pos) OVER w AS npos, lead(tok) OVER w AS ntok,
+                                lead(tok, 2) OVER w AS nntok, row_number() OVER w AS k
+                            FROM recurring.state WHERE tok IS NOT NULL AND word IN (SELECT word FROM state)
+                            WINDOW w AS (PARTITION BY word ORDER BY pos)
+                        ) n JOIN merges m ON m.a = n.tok AND m.b = n.ntok
+                    ) p WHERE rank = lowest
+                )
+            ) WHERE place % 2 = 0
+        ) t
+        LEFT JOIN merges l ON l.a = t.ptok AND l.b = t.rank AND l.rank < t.rank
+        LEFT JOIN merges r ON r.a = t.rank AND r.b = t.nntok AND r.rank < t.rank
+    ) WHERE urgent = 0
+)
+SELECT word, pos, tok FROM state WHERE tok IS NOT NULL ORDER BY word, pos
+"""
+
 #: The same for short words: all rows of active words at every step, each with its neighbour to the
 #: right, so that no step sorts. A pair's rank and places are one number (places are below 2^16).
 CONTRACT_SHORT = """
@@ -135,14 +173,14 @@ class Coder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [(p, p.encode("utf-8", "surrogatepass")) for p in pieces if p not in self.known]
-        short, long = [], []
+        short, middle, long = [], [], []
         for piece, data in new:
             if data in self.ranks:
                 self.known[piece] = self.ranks[data].to_bytes(4, "little")
             else:
-                (short if len(data) <= SHORT else long).append((piece, data))
+                (short if len(data) <= SHORT else middle if len(data) < LONG else long).append((piece, data))
         short.sort(key=lambda x: len(x[1]))
-        for words, query in ((short, CONTRACT_SHORT), (long, CONTRACT)):
+        for words, query in ((short, CONTRACT_SHORT), (middle, CONTRACT), (long, CONTRACT_LONG)):
             at = 0
             while at < len(words):
                 to, size = at, 0
