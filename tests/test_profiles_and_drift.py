@@ -240,3 +240,25 @@ def test_fields_beyond_the_category_limit_are_not_counted(spark):
     counts = profiles.counts_of_narrow(values, summaries, 100)
     assert {r["field"] for r in counts.collect()} == {"few"} and counts.count() == 9
     assert {f for (_, f), s in summaries.items() if s.distinct > 100} == {"many"}
+
+
+def test_flatten_needs_no_look_at_the_data(spark):
+    """The plan is built without a pass over the documents, so it also runs on a stream."""
+    stream = spark.readStream.format("rate").load().selectExpr("value AS rid", """try_parse_json('{"a": {"b": 1}}') AS doc""")
+    assert flatten_document(stream).isStreaming
+
+
+def test_flatten_of_documents_deeper_than_the_chain(documents):
+    rows = documents(
+        '{"a":{"b":{"c":{"d":{"e":{"f":{"g":[1,{"h":2}],"i":{},"j":null}}}}}}}',
+        '{"":{"":{"":{"":{"":{"x":1}}}}},"{{":"{{{{"}',
+        '{"a":{"b":{"c":{"d":{"e":{}}}}}}',
+        '[{"a":1}]',
+    )
+    got = sorted((r["rid"], r["path"], r["kind"], r["text"]) for r in flatten_document(rows.select("rid", "doc")).collect())
+    assert got == [
+        (0, "a.b.c.d.e.f.g", "str", "<array[2]>"),
+        (0, "a.b.c.d.e.f.j", "NoneType", None),
+        (1, "x", "int", "1"),
+        (1, "{{", "str", "{{{{"),
+    ]

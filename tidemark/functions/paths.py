@@ -394,47 +394,61 @@ def present_fields(fields: Fields, paths: list[str]) -> str:
     return f"array_compact(array({flags}))"
 
 
-def depth_sql(doc: str = "doc") -> str:
-    """Nesting of a document; lists count too, so it may exceed what is opened.
+#: Levels of objects that are opened row by row; what lies deeper is opened within its row.
+LEVELS = 4
 
-    The schema text of a document nests one ``<`` per object or list; quoted
-    keys, the only place where other brackets can stand, are removed first.
-    """
-    shape = f"regexp_replace(regexp_replace(schema_of_variant({name(doc)}), '`(?:[^`]|``)*`', ''), '[^<>]', '')"
-    steps = f"transform(filter(split({shape}, ''), c -> c <> ''), c -> if(c = '<', 1, -1))"
+
+def _opened(level: DataFrame, others: list[str]) -> DataFrame:
+    """One row per member of each object, by its path; every other value passes through, empty objects vanish."""
     return (
-        f"aggregate({steps}, named_struct('now', 0, 'most', 0), "
-        "(a, s) -> named_struct('now', a.now + s, 'most', greatest(a.most, a.now + s)), a -> a.most)"
+        level.selectExpr(*others, "path", "__v", f"{_get('__v', 'map<string,variant>')} AS __map")
+        .selectExpr(*others, "path", "__v", "__map IS NOT NULL AS __open", "explode_outer(__map) AS (__key, __child)")
+        .filter("NOT (__open AND __key IS NULL)")
+        .selectExpr(
+            *others,
+            "CASE WHEN NOT __open THEN path WHEN path = '' THEN __key ELSE concat(path, '.', __key) END AS path",
+            "if(__open, __child, __v) AS __v",
+        )
     )
 
 
-def object_depth(df: DataFrame, doc: str = "doc") -> int:
-    """The deepest nesting of any document, by one aggregate."""
-    return df.selectExpr(f"max({depth_sql(doc)}) AS depth").first()["depth"] or 0
+def _leaves_within(path: str, value: str) -> str:
+    """The leaves of one object, however deep, as an array of ``path, v``.
+
+    A loop over levels. An object's text has a brace for each object in it, so there
+    are no more levels than braces; steps after the last level do nothing.
+    """
+    kids = (
+        "flatten(transform(level.open, o -> transform(map_entries(o.m), e -> named_struct("
+        "'path', if(o.path = '', e.key, concat(o.path, '.', e.key)), 'v', e.value, 'm', " + _get("e.value", "map<string,variant>") + "))))"
+    )
+    step = (
+        f"if(size(level.open) = 0, level, element_at(transform(array({kids}), kids -> named_struct("
+        "'done', concat(level.done, transform(filter(kids, c -> c.m IS NULL), c -> named_struct('path', c.path, 'v', c.v))), "
+        "'open', transform(filter(kids, c -> c.m IS NOT NULL), c -> named_struct('path', c.path, 'm', c.m)))), 1))"
+    )
+    start = (
+        "named_struct('done', CAST(array() AS array<struct<path:string,v:variant>>), "
+        f"'open', array(named_struct('path', {path}, 'm', {_get(value, 'map<string,variant>')})))"
+    )
+    braces = f"aggregate(array(to_json({value})), 0, (n, t) -> length(t) - length(replace(t, '{{', '')))"
+    return f"aggregate(sequence(1, {braces}), {start}, (level, n) -> {step}, level -> level.done)"
 
 
-def flatten_document(df: DataFrame, doc: str = "doc", depth: int | None = None) -> DataFrame:
+def flatten_document(df: DataFrame, doc: str = "doc") -> DataFrame:
     """One row per leaf, as ``path``, ``kind``, ``text``, ``is_null`` beside the other columns.
 
-    A linear chain of ``explode_outer`` steps, each opening one level of
-    objects; finished rows pass through. Nothing is shuffled and nothing is
-    gathered per document. Empty objects vanish, lists become ``<array[n]>``
-    text of kind ``str``. The chain is as long as the deepest document needs;
-    unless ``depth`` tells, one aggregate over the input does when the plan is built.
+    A linear chain of steps, each opening one level of objects; finished rows pass
+    through. Nothing is shuffled and nothing is looked up in the data beforehand: the
+    objects that are left after ``LEVELS`` steps are opened to their end within their
+    row. Empty objects vanish, lists become ``<array[n]>`` text of kind ``str``.
     """
     others = [name(c) for c in df.columns if c != doc]
     level = df.selectExpr(*others, "'' AS path", f"{name(doc)} AS __v").filter("__v IS NOT NULL")
-    for _ in range(object_depth(df, doc) if depth is None else depth):
-        level = (
-            level.selectExpr(*others, "path", "__v", f"{_get('__v', 'map<string,variant>')} AS __map")
-            .selectExpr(*others, "path", "__v", "__map IS NOT NULL AS __open", "explode_outer(__map) AS (__key, __child)")
-            .filter("NOT (__open AND __key IS NULL)")
-            .selectExpr(
-                *others,
-                "CASE WHEN NOT __open THEN path WHEN path = '' THEN __key ELSE concat(path, '.', __key) END AS path",
-                "if(__open, __child, __v) AS __v",
-            )
-        )
+    for _ in range(LEVELS):
+        level = _opened(level, others)
+    within = f"if(schema_of_variant(__v) LIKE 'OBJECT%', {_leaves_within('path', '__v')}, array(named_struct('path', path, 'v', __v)))"
+    level = level.selectExpr(*others, f"inline({within}) AS (path, __v)")
     leaves = level.filter("path <> ''").selectExpr(*others, "path", "__v", "schema_of_variant(__v) AS __schema")
     typed = leaves.selectExpr(*others, "path", "__v", f"{variant_kind('__schema')} AS __kind")
     array_text = f"concat('<array[', size({_get('__v', 'array<variant>')}), ']>')"

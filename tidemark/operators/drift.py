@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.paths import Fields, depth_sql, flatten_document
+from tidemark.functions.paths import Fields, flatten_document
 from tidemark.functions.sqltext import case, name, quote
 from tidemark.operators import profiles
 from tidemark.operators.validate import timestamp_sql
@@ -416,9 +416,9 @@ def compare_windows(
 
     The source is read twice. One pass lands the configured fields of both
     windows as typed columns, when the plan is built; row counts, distributions,
-    statistics, null ratios, entities and the gate derive from these, as does the
-    depth to which documents are opened. Of fields with many values only
-    candidates for the top are exchanged. The other pass profiles the leaves.
+    statistics, null ratios, entities and the gate derive from these. Of fields
+    with many values only candidates for the top are exchanged. The other pass
+    profiles the leaves.
     """
     config = drift_config(config)
     windowing, limits, targets = config["windowing"], config["thresholds"], config["targets"]
@@ -432,14 +432,12 @@ def compare_windows(
         raise ValueError("every detector is switched off")
     categorical = dist["categorical_fields"] if dist["enabled"] or vol["enabled"] else []
     numeric = dist["numerical_fields"] if dist["enabled"] else []
-    opened = sch["enabled"] and leaves is None
-    chosen = profiles.Targets(fields, categorical, numeric, ts, {"__depth": depth_sql(fields.doc)} if opened else None)
+    chosen = profiles.Targets(fields, categorical, numeric, ts)
     narrow = landed(chosen.read(tagged))
-    if opened:
-        depth = narrow.agg(F.max("__depth")).first()[0] or 0
+    if leaves is None:
 
         def leaves(rows: DataFrame) -> DataFrame:
-            return flatten_document(rows.selectExpr("window", name(ts), name(fields.doc)), fields.doc, depth)
+            return flatten_document(rows.selectExpr("window", name(ts), name(fields.doc)), fields.doc)
 
     parts = []
     if sch["enabled"]:

@@ -73,18 +73,16 @@ class Targets:
     drift run compares, but for the schema, derives from these columns.
     """
 
-    def __init__(self, fields: Fields, categorical: list[str], numeric: list[str], seen: str = "ts", extra: dict[str, str] | None = None):
+    def __init__(self, fields: Fields, categorical: list[str], numeric: list[str], seen: str = "ts"):
         self.fields, self.seen = fields, seen
         numbers = {p: _as_number(fields.field(p)) for p in numeric}
         self.texts = {p: f"__text{n}" for n, p in enumerate(categorical)}
         self.numbers = {p: f"__number{n}" for n, p in enumerate(numeric)}
         only_text = [p for p in categorical if p not in numeric]
         self.nones = {p: f"__none{n}" for n, p in enumerate(only_text)}
-        self.extra = extra or {}
         self._sql = [f"{fields.field(p).text} AS {c}" for p, c in self.texts.items()]
         self._sql += [f"{numbers[p]} AS {c}" for p, c in self.numbers.items()]
         self._sql += [f"{fields.field(p).is_none} AS {c}" for p, c in self.nones.items()]
-        self._sql += [f"{sql} AS {c}" for c, sql in self.extra.items()]
 
     def read(self, tagged: DataFrame) -> DataFrame:
         return self.fields.attach(tagged).selectExpr("window", name(self.seen), *self._sql)
