@@ -1,5 +1,7 @@
 """Plans: no Python on rows, one parse per row, predicates at the scan."""
 
+from datetime import datetime
+
 import pytest
 
 from tests.conftest import SF_DIR
@@ -96,3 +98,18 @@ def test_distance_opens_few_cells(spark, cells):
             most = max(most, abs(seen[True] / total[True] - seen[False] / total[False]))
     assert found["statistic"] == pytest.approx(most, abs=1e-12)
     assert (found["total_b"], found["total_c"]) == (total[True], total[False])
+
+
+def test_documents_of_one_row_group_are_made_by_every_core(spark, tmp_path):
+    from tidemark.plans import faults
+
+    rows = [(n, datetime(2024, 1, 1), n, "click") for n in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    tasks = spark.conf.get(faults.SCAN_TASKS)
+    spark.conf.unset(faults.SCAN_TASKS)
+    try:
+        text = faults.event_text(spark, str(tmp_path))
+        assert text.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+        assert text.count() == 100
+    finally:
+        spark.conf.set(faults.SCAN_TASKS, tasks)

@@ -6,7 +6,6 @@ to text and floats rounded so that results compare across engines.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +21,7 @@ from tidemark.functions.paths import (
 from tidemark.functions.severity import severity_sql
 from tidemark.operators import adhoc, batch_drift, drift, drift_reports, duplicates, profiles, results, rollups, validate as v, windows
 from tidemark.plans.event_rules import event_rules, only, without
-from tidemark.plans.faults import AS_OF, EVENT_DOCS_SQL, dealt, dirty_events, event_docs, event_text, table
+from tidemark.plans.faults import AS_OF, dirty_events, event_docs, event_text, over_documents, table
 from tidemark.session import configure, work_folder
 from tidemark.sources import events as ev, flat_events as fl, sinks
 from tidemark.streaming import ingest
@@ -623,7 +622,12 @@ def tagged_events(spark, sf) -> DataFrame:
 def document_profile(spark, sf, cap: int = 1000) -> DataFrame:
     tagged = tagged_docs(spark, sf)
     leaves = flatten_document(tagged.select("window", "ts", "doc"))
-    return profiles.schema_profile(leaves, profiles.row_counts(tagged), cap)
+    return profiles.schema_profile(leaves, row_counts_of_docs(spark, sf), cap)
+
+
+def row_counts_of_docs(spark, sf) -> DataFrame:
+    """Rows per window of ``tagged_docs``, without parsing them."""
+    return profiles.row_counts(windows.tag_windows(event_text(spark, sf), "ts", BASELINE, CURRENT))
 
 
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
@@ -941,7 +945,7 @@ def drift_roundtrip(spark, sf):
 def schemas(spark, sf) -> DataFrame:
     tagged = tagged_docs(spark, sf)
     leaves = flatten_document(tagged.select("window", "ts", "doc"))
-    rows = profiles.row_counts(tagged)
+    rows = row_counts_of_docs(spark, sf)
     return batch_drift.extract_schema(profiles.schema_profile(leaves, rows), rows)
 
 
@@ -1020,11 +1024,7 @@ def event_stream(spark, sf) -> DataFrame:
     """The event table replayed as a stream of JSON texts."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    view = uuid.uuid4().hex
-    stream.createOrReplaceTempView(f"replay_{view}")
-    out = spark.sql(EVENT_DOCS_SQL.replace("FROM events", f"FROM replay_{view}"))
-    spark.catalog.dropTempView(f"replay_{view}")
-    return dealt(out).withColumn("ts", F.col("ts").cast("timestamp"))
+    return over_documents(spark, stream).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ingested(spark, sf) -> ingest.IngestTables:

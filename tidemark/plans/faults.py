@@ -66,7 +66,7 @@ FROM events
 """
 
 
-#: Session setting, unset unless a benchmark or test sets it.
+#: Session setting: tasks that event documents are dealt to, by default one for each core.
 SCAN_TASKS = "tidemark.scan.tasks"
 
 
@@ -75,18 +75,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """``df`` dealt to the number of tasks that the caller's session sets in ``SCAN_TASKS``, else as it is read.
+    """``df`` dealt evenly to the number of tasks in ``SCAN_TASKS``, or to one for each core.
 
-    For benchmarks and tests on a table of one small file, which is one task
-    however many cores there are. Nothing is looked up in the data.
+    A file is read by as many tasks as it has row groups at most, and a row group holds
+    up to a million events: the costly steps on documents would leave most cores idle.
+    The narrow table rows are exchanged, not the documents. Nothing is looked up in the data.
     """
-    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
-    return df.repartition(int(tasks)) if tasks else df
+    spark = df.sparkSession
+    return df.repartition(int(spark.conf.get(SCAN_TASKS, None) or spark.sparkContext.defaultParallelism))
 
 
-def _over_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _over_events(spark: SparkSession, events: DataFrame, sql: str) -> DataFrame:
     view = f"events_{uuid.uuid4().hex}"
-    dealt(table(spark, sf_dir, "events")).createOrReplaceTempView(view)
+    events.createOrReplaceTempView(view)
     out = spark.sql(sql.replace("FROM events", f"FROM {view}"))
     spark.catalog.dropTempView(view)
     return out
@@ -94,7 +95,12 @@ def _over_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rid, ts, raw``: one JSON text per event, with faults."""
-    return _over_events(spark, sf_dir, EVENT_DOCS_SQL)
+    return over_documents(spark, table(spark, sf_dir, "events"))
+
+
+def over_documents(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """``event_text`` of an events table or stream."""
+    return _over_events(spark, dealt(events.select("event_id", "ts", "user_id", "event_type")), EVENT_DOCS_SQL)
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +109,5 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_events(spark, sf_dir, DIRTY_EVENTS_SQL)
+    events = table(spark, sf_dir, "events")
+    return _over_events(spark, dealt(events) if spark.conf.get(SCAN_TASKS, None) else events, DIRTY_EVENTS_SQL)
