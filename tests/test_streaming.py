@@ -331,3 +331,21 @@ def test_rollup_durations(spark):
         got = rollups.stats_between(parts, rows, start, end, milliseconds="ms").first().asDict()
         want = stats_between(rows, start, end, "ms").first().asDict()
         assert {k: round(v, 9) if isinstance(v, float) else v for k, v in got.items()} == {k: round(v, 9) if isinstance(v, float) else v for k, v in want.items()}
+
+
+def test_flat_columns_are_made_once_and_copies_released(spark, tmp_path, monkeypatch):
+    """Rows and rejects come from one held copy of the flat columns; what is no longer read is given back."""
+    held, seen = [], []
+    hold, rejects = ingest.Attempt.hold, ingest.flat_rejects
+    monkeypatch.setattr(ingest.Attempt, "hold", lambda self, df: held.append(hold(self, df)) or held[-1])
+
+    def watched(flattened):
+        seen.append((flattened.storageLevel.useMemory, sum(df.storageLevel.useMemory for df in held)))
+        return rejects(flattened)
+
+    monkeypatch.setattr(ingest, "flat_rejects", watched)
+    batch = spark.createDataFrame([(1, event(1)), (2, event(2, id=None)), (3, event(1))], "rid long, raw string")
+    ingest.ingest_batch(batch, 0, event_rules(), AS_OF, ingest.IngestTables(str(tmp_path)), ["rid"])
+    # checked rows and flat columns; the decoded rows are given back
+    assert seen == [(True, 2)]
+    assert not any(df.storageLevel.useMemory for df in held)

@@ -78,6 +78,11 @@ class Attempt:
         self.held.append(df.persist())
         return df
 
+    def release(self, df: DataFrame) -> None:
+        """``df`` is not read again: what reads it is held or written."""
+        df.unpersist()
+        self.held = [h for h in self.held if h is not df]
+
     def store(self, keys: KeyStore, fresh: DataFrame, horizon: datetime | None = None) -> None:
         added, replaced = keys.write(self.state, fresh, horizon)
         self.added += added
@@ -171,7 +176,10 @@ def ingest_batch(
         return  # committed before the query could note it
     ts = event_time or (lookback[0] if lookback else None)
     # A micro-batch is bounded by its trigger; it is decoded once for all outputs.
-    parsed = attempt.hold(decode(with_positions(batch), raw))
+    parsed = decode(with_positions(batch), raw)
+    if duplicates_enabled(rules):
+        parsed = with_event_key(parsed, rules, DocumentFields("doc"))
+    parsed = attempt.hold(parsed)
     try:
         facts = _event_times(parsed, attempt, as_of, order_by, ts, delay)
         horizon = None
@@ -213,25 +221,26 @@ def _write_outputs(
     time: str | None,
 ) -> None:
     """Every output of a decoded micro-batch; ``time`` is the event time, if there is one."""
-    attempt.write("dead_letters", dead_letters(parsed))
+    attempt.write("dead_letters", dead_letters(parsed.drop("event_key") if duplicates_enabled(rules) else parsed))
     events = decoded(parsed)
     fields = DocumentFields("doc")
     if duplicates_enabled(rules):
         ts, seconds = lookback or (None, None)
-        keyed = attempt.hold(with_event_key(events, rules, fields))
-        events = report_duplicates(keyed, attempt, order_by, ts, seconds, delay, horizon).drop("event_key")
+        events = report_duplicates(events, attempt, order_by, ts, seconds, delay, horizon).drop("event_key")
         checked = validate(events, rules, as_of, fields, duplicate_flag="is_duplicate")
     else:
         checked = validate(events, rules, as_of, fields)
     checked = attempt.hold(checked)
     attempt.write("results", result_rows(checked))
+    attempt.release(parsed)
     _write_rollup(checked, attempt, time)
     attempt.write("quarantine", checked.filter("status = 'FAIL'").drop("doc", "metadata"))
     passed = checked.filter("status <> 'FAIL'").withColumnRenamed("event_id", "result_id")
-    flattened = flatten_events(passed, keep=[*order_by, "status", "result_id", "doc"])
+    flattened = attempt.hold(flatten_events(passed, keep=[*order_by, "status", "result_id", "doc"]))
     attempt.write("flat_rejects", flat_rejects(flattened).drop("doc", "result_id"))
+    attempt.release(checked)
     # Both tables get the same rows: an event that one cannot store is stored in neither.
-    fresh = attempt.hold(_fresh(flat_rows(flattened), attempt, order_by))
+    fresh = _fresh(flat_rows(flattened), attempt, order_by)
     attempt.write("flat", fresh.drop("doc", "result_id"))
     stored = fresh.drop("event_id").withColumnRenamed("result_id", "event_id")
     stored_at = f"TIMESTAMP '{as_of}'" if as_of != "now" else "current_timestamp()"
@@ -251,11 +260,13 @@ def _write_rollup(checked: DataFrame, attempt: Attempt, time: str | None) -> Non
 
 
 def _fresh(rows: DataFrame, attempt: Attempt, order_by: list[str]) -> DataFrame:
-    """A7 in a micro-batch: first of each event id that no earlier batch stored."""
+    """A7 in a micro-batch: first of each event id that no earlier batch stored; held."""
     rows = attempt.hold(first_per_key(rows, "event_id", order_by))
+    if not any(e.table == "ids" for e in attempt.state.entries):
+        return rows
     asked = rows.filter("event_id IS NOT NULL").select(F.col("event_id").alias("key"))
     stored = KeyStore(attempt.log, "ids").lookup(attempt.state, asked, None, attempt.held)
-    return rows.join(stored.select(F.col("key").alias("__stored")), F.col("event_id") == F.col("__stored"), "left_anti")
+    return attempt.hold(rows.join(stored.select(F.col("key").alias("__stored")), F.col("event_id") == F.col("__stored"), "left_anti"))
 
 
 def validate_stream(
